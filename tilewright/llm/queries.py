@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, media
+from . import exact_dedup, language_id, line_dedup, media, packing
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_language_id": language_id.op5_language_id,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_media_columns": media.op8_media_columns,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
