@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import string
 import sys
 import types
@@ -47,24 +46,23 @@ def _remove_all() -> None:
             return
 
 
-def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage and survives lost
     executors, because the folder is shared by all of them. Removed when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _folders.append((spark, path))
-    w = df.write.option("compression", "zstd")
-    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
     """Remove a table of ``materialise`` that no result needs any more."""
-    spark = df.sparkSession
-    folders = {os.path.dirname(f) for f in df.inputFiles()}
-    for entry in [e for e in _folders if any(f.rstrip("/").endswith(e[1].split(":", 1)[-1].lstrip("/")) for f in folders)]:
-        _remove(*entry)
-        _folders.remove(entry)
+    entry = (df.sparkSession, df.written_at)
+    _remove(*entry)
+    _folders.remove(entry)
 
 
 def per_worker(name: str, make):
