@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, media, packing, secret_scan, simhash
+from . import exact_dedup, language_id, line_dedup, media, packing, secret_scan, simhash, url_filter
 
 QUERIES = {
+    "op7_url_filter": url_filter.op7_url_filter,
     "op10_simhash": simhash.op10_simhash,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op1_packing": packing.op1_packing,
