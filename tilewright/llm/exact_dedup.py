@@ -10,23 +10,22 @@ there are at most a few of them for each partition.
 from __future__ import annotations
 
 import hashlib
-import string
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, materialise, small_batches
+from ._common import ascii_lower, documents, materialise, small_batches
 
 #: Characters of the normalised text that the splitters hold.
 PREFIX = 24
 _RUNS = "id long, sha string, run_id long, run_rows long, part int, run int, border string"
 
 
-def ascii_lower(text) -> F.Column:
-    """Lower-case A-Z only; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+def normalised(text) -> F.Column:
+    """A-Z lower-cased; null counts as empty."""
+    return ascii_lower(F.coalesce(text, F.lit("")))
 
 
 def _runs(keep_largest: bool):
@@ -77,7 +76,7 @@ def _runs(keep_largest: bool):
     return scan
 
 
-def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=ascii_lower) -> DataFrame:
+def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=None) -> DataFrame:
     """Groups of equal normalised texts: ``id, keep_id, group_size, kept, text_sha256``, one row for each row of ``df``.
 
     ``keep``: which id of a group stays, ``smallest`` or ``largest``. Null text counts as empty and so equals it. A null id takes
@@ -85,7 +84,7 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows are kept). Rows that repeat the id that stays are all kept. An empty table gives an empty result. Columns other
     than the two named are not read, so their names cannot clash."""
     small_batches(df.sparkSession)
-    text = normalise(F.col(text_col))
+    text = (normalise or normalised)(F.col(text_col))
     rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("norm"))
     rows = rows.select("id", "norm", F.substring("norm", 1, PREFIX).alias("lead"), F.xxhash64("norm").alias("hash"))
     order = ["lead", "hash", "norm", "id"]
