@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, media, packing, secret_scan, simhash, suffix_dedup, url_filter
+from . import exact_dedup, language_id, line_dedup, media, packing, secret_scan, sentencepiece_scan, simhash, suffix_dedup, url_filter
 
 QUERIES = {
+    "op3_sentencepiece": sentencepiece_scan.op3_sentencepiece,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op10_simhash": simhash.op10_simhash,
