@@ -33,6 +33,9 @@ MATCH, KMER = 50, 20
 BEFORE = MATCH - KMER
 #: Contexts of one k-mer that one task takes.
 HOT = 1 << 15
+#: Texts from which frequent k-mers are known, the share of a mean partition that makes one frequent, and the ways that
+#: its rows of one context are cut. They decide the dealing only, never results.
+SAMPLE_TEXTS, FREQUENT, WAYS = 4000, 0.25, 16
 # Odd multipliers of the polynomial hashes modulo 2^64.
 _BASE, _CONTEXT_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _tables: list[tuple[SparkSession, str]] = []
@@ -120,42 +123,42 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 
 def _settle(batches):
-    """Rows sorted by (kmer, context, id): settled ones and open ones. Between batches it carries the first row of the current
-    context and the open rows of the current k-mer for as long as they are of one document."""
+    """Rows sorted by (kmer, salt, context, id): settled ones and open ones. Between batches it carries the first row of the
+    current context and the open rows of the current k-mer for as long as they are of one document. A frequent k-mer (salt
+    over 0) lies in many tasks and has several documents for sure."""
     names = ["kmer", "id", "key", "at", "settled"]
     marker, held, several = None, None, None
 
     def rows(part, settled):
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in part), pa.array(np.full(len(part[0]), settled))], names)
+        kmer, _, *rest = part
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in (kmer, *rest)), pa.array(np.full(len(kmer), settled))], names)
 
     def split(part, last: bool):
         """Open rows that go on, those that wait."""
         nonlocal several
-        new = _starts(part[0])
-        group = np.cumsum(new) - 1
-        first, end = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(new))
-        many = np.minimum.reduceat(part[1], first) != np.maximum.reduceat(part[1], first)
+        new = _starts(part[0], part[1])
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        many = (np.minimum.reduceat(part[2], first) != np.maximum.reduceat(part[2], first)) | (part[1][first] > 0)
         if several is not None:
             many[part[0][first] == several] = True
         wait = np.zeros(len(first), bool)
         if not last:
             wait[-1] = not many[-1]
             several = part[0][-1] if many[-1] else None
-        assert end[-1] == len(new)
         return [c[many[group]] for c in part], [c[wait[group]] for c in part]
 
     for b in batches:
-        kmer, context, ids, keys, at = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        kmer, salt, context, ids, keys, at = (c.to_numpy(zero_copy_only=False) for c in b.columns)
         if not len(kmer):
             continue
-        new = _starts(kmer, context)
+        new = _starts(kmer, salt, context)
         if marker is not None:
-            new[0] = (kmer[0], context[0]) != marker[:2]
+            new[0] = (kmer[0], salt[0], context[0]) != marker[:3]
         run = np.cumsum(new) - 1
         firsts = ids[new]
-        owner = np.where(run >= 0, firsts[np.maximum(run, 0)] if len(firsts) else 0, marker[2] if marker else 0)
-        marker = (kmer[-1], context[-1], owner[-1])
-        part = [kmer, ids, keys, at]
+        owner = np.where(run >= 0, firsts[np.maximum(run, 0)] if len(firsts) else 0, marker[3] if marker else 0)
+        marker = (kmer[-1], salt[-1], context[-1], owner[-1])
+        part = [kmer, salt, ids, keys, at]
         open_ = ids == owner
         if not open_.all():
             yield rows([c[~open_] for c in part], True)
@@ -364,8 +367,17 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     kind = "kmer long, context long, id long, key long, at int"
     dealt = texts.select("id", "key", "text").mapInArrow(_anchor_rows, kind)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = min(1.0, SAMPLE_TEXTS / max(1, owners.count()))
+    sampled = texts.filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = materialise(sampled.select("id", "key", "text").mapInArrow(_anchor_rows, kind).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")), "sampled-kmers")
+    least = (counts.agg(F.sum("n")).first()[0] or 0) * FREQUENT / partitions
+    # by their shares at most partitions / FREQUENT of them
+    frequent = materialise(counts.filter((F.col("n") > least) & (F.col("n") > 1)).select("kmer", F.lit(True).alias("frequent")), "frequent-kmers")
+    salt = F.when(F.col("frequent"), 1 + F.pmod(F.xxhash64("context", F.pmod(F.xxhash64("id"), F.lit(WAYS))), F.lit(1 << 20))).otherwise(F.lit(0)).cast("int")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(32 * BATCH_ROWS))  # rows of a few numbers
-    settled = materialise(dealt.repartition("kmer").sortWithinPartitions("kmer", "context", "id").mapInArrow(_settle, "kmer long, id long, key long, at int, settled boolean"), "anchors")
+    dealt = dealt.join(F.broadcast(frequent), "kmer", "left").select("kmer", salt.alias("salt"), "context", "id", "key", "at")
+    settled = materialise(dealt.repartition("kmer", "salt").sortWithinPartitions("kmer", "salt", "context", "id").mapInArrow(_settle, "kmer long, id long, key long, at int, settled boolean"), "anchors")
     small_batches(spark)
 
     at = settled.filter(~F.col("settled")).groupBy("id", "key").agg(F.collect_list(F.struct("at", "kmer")).alias("a"))
