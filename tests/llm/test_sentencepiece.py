@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tilewright.llm import sentencepiece_scan as m
 
 PATH = m.default_model_path()
-V = m.Vocabulary(PATH)
+V, PIECES = m.Vocabulary(PATH), m.spellings(PATH)
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
 POOL = ["the", " ", "  ", "   ", "\n", "é", "日", "😀", "aaaa", "----", "=", m.MARK, "tion", "x", "1", "\t", "ﬁ", "internationalisation", " " * 9, "." * 16, "ab", "AAAA"]
 
@@ -19,7 +19,7 @@ POOL = ["the", " ", "  ", "   ", "\n", "é", "日", "😀", "aaaa", "----", "=",
 def test_ids_equal_the_librarys(text):
     ids = np.frombuffer(V.plain(m.marked(text)), "<i4").tolist()
     assert ids == LIBRARY.encode(text)
-    assert m.decode(V, ids) == text.replace(m.MARK, " ")
+    assert m.decode(PIECES, ids) == text.replace(m.MARK, " ")
 
 
 def by_chunks(text, size):
@@ -51,8 +51,10 @@ def test_product_is_associative():
     assert m.product(m.product(a, b), c) == m.product(a, m.product(b, c))
 
 
-@pytest.mark.parametrize("giant", [40, 16384])
-def test_rows(spark, giant):
+@pytest.mark.parametrize(("giant", "at_once", "remembered"), [(40, 256, 1000), (16384, 7, 5)])
+def test_rows(spark, monkeypatch, giant, at_once, remembered):
+    monkeypatch.setattr(m, "AT_ONCE", at_once)
+    monkeypatch.setattr(m, "REMEMBERED", remembered)  # the second forgets all the time
     rng = random.Random(2)
     texts = {i: "".join(rng.choices(POOL, k=rng.randint(0, 60))).replace(m.MARK, "") for i in range(40)} | {40: None, 41: "", 42: "x" * 700, 43: "word " * 300}
     df = spark.createDataFrame([(i, t, [1]) for i, t in texts.items()] + [(43, texts[43], [1]), (None, "no id", [1])], "doc_id long, text string, ids array<int>").repartition(3)

@@ -8,13 +8,15 @@ combined by the max-plus product, which is associative; the prefix products give
 piece that leaves it and how many come before, and each chunk is traced back for itself.
 
 Short texts are one chunk. Within a chunk the path is found word by word: no piece of the vocabulary holds a word start
-after another character, so a word start is a cut that every path goes through.
+after another character, or a letter beside anything that is no letter, so such places are cuts that every path goes through.
 """
 
 from __future__ import annotations
 
 import re
+import string
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,29 @@ from ._common import documents, materialise, per_worker, small_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Characters of a chunk, and of a text from which it is cut into chunks.
-CHUNK, GIANT = 8192, 16384
-#: Words whose pieces a worker remembers; it starts afresh beyond that.
-REMEMBERED = 500_000
+CHUNK, GIANT = 1 << 15, 1 << 16
+#: Words and states that a worker remembers, and twice as many pairs of pieces; it starts afresh beyond.
+REMEMBERED = 160_000
+#: Texts whose words are looked up together.
+AT_ONCE = 256
 MARK = "▁"
-#: A word with the marks before it.
-WORD = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+#: Runs between cuts: marks and the letters, or the other characters, after them. The superscript two has a piece with a full stop.
+WORD = re.compile(rf"{MARK}*(?:[^\W\d_²]+|(?:[^\w{MARK}]|[\d_²])+)|{MARK}+")
+#: Characters and the longest word that many words step over at once; others step one by one.
+USUAL, LOCKSTEP = MARK + string.ascii_letters + ".,-#*$%&|:;'!?0123456789" + "àáâäçèéêëìíîïñòóôöùúûüßÉÈÀÖÄÜÑ", 48
 MINUS_INFINITY = float("-inf")
 State = tuple[int, int]  #: a piece by its start and end in the text
 
 
+def spellings(path: str) -> list[bytes]:
+    """The bytes of each piece; control pieces spell nothing."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    spelled = lambda i: bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).encode()
+    return [spelled(i) for i in range(sp.get_piece_size())]
+
+
 class Vocabulary:
     """Pieces, scores and byte pieces of a SentencePiece model of merges with identity normalisation and a leading mark."""
 
@@ -45,16 +60,46 @@ class Vocabulary:
         n = sp.get_piece_size()
         self.text = [sp.id_to_piece(i) for i in range(n)]
         self.bytes_ = {int(self.text[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        byte_of = {i: b for b, i in self.bytes_.items()}
-        self.raw = [bytes([byte_of[i]]) if i in byte_of else self.text[i].encode() for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         self.id = {self.text[i]: i for i in plain}
         self.score = {self.text[i]: sp.get_score(i) for i in plain}
         self.longest = max(map(len, self.id))
-        #: What some piece starts with; single characters are always pieces, by themselves or as bytes.
-        self.beginnings = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        if any(WORD.fullmatch(p) is None for p in self.id):
+            raise ValueError(f"{path}: a piece crosses the cuts that this operator relies on")
+        #: A trie: node << 21 | character to node; the piece that ends at a node, or -1.
+        self.trie: dict[int, int] = {}
+        self.piece_at = [-1]
+        for text, i in self.id.items():
+            node = 0
+            for c in text:
+                step = node << 21 | ord(c)
+                if step not in self.trie:
+                    self.trie[step] = len(self.piece_at)
+                    self.piece_at.append(-1)
+                node = self.trie[step]
+            self.piece_at[node] = i
+        #: Single characters without a piece of their own are edges too: numbers from here on, by character.
+        self.other = n
+        self.inner = {step >> 21 for step in self.trie} - {0}
+        self._forget()
+        self.column = np.zeros(1 << 14, np.int64)
+        self.column[[ord(c) for c in USUAL]] = np.arange(len(USUAL))
+        self.usual = re.compile(f"[{re.escape(USUAL)}]+")
+        if any(c not in self.id for c in USUAL):
+            raise ValueError(f"{path}: a usual character has no piece")
+        self.four = [i.to_bytes(4, "little") for i in range(n)]
+        self.fits: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _forget(self) -> None:
+        """Begin with the one state in front of a text."""
+        first = array("i", [-1]).tobytes()
+        #: Int32 bytes: the piece that ends here; then, of each piece begun before, the piece that it follows and its node.
+        self.states, self.ending, self.lengths = [first], [-1], [0]
+        self.numbered: dict[bytes, int] = {first: 0}
+        self.steps: dict[int, int] = {}
+        #: Steps over usual characters; nothing leads to state 0. Only what is used takes memory.
+        self.table = np.zeros((2 * REMEMBERED, len(USUAL)), np.int32)
 
     def merges(self, text: str) -> list[str]:
         """The encoding by its definition: join the neighbours of best score, leftmost first, until none can be joined."""
@@ -70,83 +115,178 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fit(self, a: str, b: str) -> bool:
-        found = self.fits.get((a, b))
-        if found is None:
-            if len(self.fits) > REMEMBERED * 2:
-                self.fits.clear()
-            found = self.fits[a, b] = self.merges(a + b) == [a, b]
+    def number(self, piece: str) -> int:
+        return self.id[piece] if piece in self.id else self.other + ord(piece)
+
+    def spelled(self, number: int) -> str:
+        return self.text[number] if number < self.other else chr(number - self.other)
+
+    def fit(self, a: int, b: int) -> bool:
+        """Whether the weight between neighbours a and b is not minus infinity."""
+        if len(self.fits) > 2 * REMEMBERED:
+            self.fits.clear()
+        x, y = self.spelled(a), self.spelled(b)
+        found = self.fits[a << 21 | b] = self.merges(x + y) == [x, y]
         return found
 
-    def ids_of(self, piece: str) -> tuple[int, ...]:
-        own = self.id.get(piece)
-        return (own,) if own is not None else tuple(self.bytes_[b] for b in piece.encode())
+    def ids_of(self, number: int) -> tuple[int, ...]:
+        return (number,) if number < self.other else tuple(self.bytes_[b] for b in chr(number - self.other).encode())
 
-    def is_piece(self, text: str) -> bool:
-        return len(text) == 1 or text in self.id
+    def packed(self, numbers: list[int]) -> bytes:
+        """Ids of pieces as little-endian int32."""
+        known = self.four
+        return b"".join([known[p] if p < self.other else b"".join([known[i] for i in self.ids_of(p)]) for p in numbers])
 
-    def longest_paths(self, text: str, entry: State, stop: int, last_start: int) -> dict[int, tuple[int, str, float]]:
-        """From the piece ``entry``: for each end up to ``stop``, the start and text of the one piece that can end there, and the
-        number of pieces so far. Pieces start before ``last_start``."""
+    def longest_paths(self, text: str, entry: State, stop: int, last_start: int) -> dict[int, tuple[int, int, float]]:
+        """From the piece ``entry``: for each end up to ``stop``, the start and number of the one piece that can end there, and how
+        many ids lead there. Pieces start before ``last_start``."""
         first = entry[1]
-        found = {first: (entry[0], text[entry[0] : first] if entry[0] >= 0 else "", 0.0)}
-        pieces, beginnings, fits = self.id, self.beginnings, self.fits
+        found = {first: (entry[0], self.number(text[entry[0] : first]) if entry[0] >= 0 else -1, 0.0)}
+        trie, piece_at, fits, other = self.trie, self.piece_at, self.fits, self.other
         for start in range(first, min(last_start, stop)):
             own = found.get(start)
             if own is None:
                 continue
-            before, n = own[1], own[2] + 1
-            for end in range(start + 1, stop + 1):
-                piece = text[start:end]
-                if piece in pieces or end == start + 1:
-                    if end not in found:
-                        # an edge between pieces that do not fit weighs minus infinity
-                        ok = not before or fits.get((before, piece))
-                        if ok is None:
-                            ok = self.fit(before, piece)
-                        if ok:
-                            found[end] = (start, piece, n)
-                if piece not in beginnings:
+            before, node = own[1], 0
+            for end in range(start, stop):
+                code = ord(text[end])
+                node = trie.get(node << 21 | code, -1) if node >= 0 else -1
+                piece = piece_at[node] if node >= 0 else -1
+                if end == start and piece < 0:
+                    piece = other + code
+                if piece >= 0 and end + 1 not in found:
+                    ok = before < 0 or fits.get(before << 21 | piece)
+                    if ok is None:
+                        ok = self.fit(before, piece)
+                    if ok:
+                        found[end + 1] = (start, piece, own[2] + (1 if piece < other else len(self.ids_of(piece))))
+                if node < 0:
                     break
         return found
 
-    def trace(self, text: str, entry: State, leave: State) -> list[str]:
-        """The pieces after ``entry`` up to and with ``leave``."""
+    def trace(self, text: str, entry: State, leave: State) -> list[int]:
+        """Numbers of the pieces after ``entry`` up to and with ``leave``."""
         if leave == entry:
             return []
-        found = self.longest_paths(text, entry, leave[1], leave[0] + 1)
-        return self._back(found, entry[1], leave[1])
-
-    @staticmethod
-    def _back(found: dict[int, tuple[int, str, float]], first: int, end: int) -> list[str]:
-        path = []
-        while end > first:
+        found, path, end = self.longest_paths(text, entry, leave[1], leave[0] + 1), [], leave[1]
+        while end > entry[1]:
             end, piece, _ = found[end]
             path.append(piece)
         return path[::-1]
 
-    def word_pieces(self, text: str) -> list[str]:
-        """Pieces of a text that path cuts enclose."""
-        n = len(text)
-        return self._back(self.longest_paths(text, (-1, 0), n, n), 0, n)
-
-    def word(self, text: str) -> tuple[int, ...]:
-        """Their ids."""
-        ids = self.words.get(text)
-        if ids is None:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            ids = self.words[text] = tuple(i for p in self.word_pieces(text) for i in self.ids_of(p))
-        return ids
-
-    def plain(self, text: str) -> list[int]:
-        """Ids of a text that path cuts enclose, word by word."""
-        out: list[int] = []
-        known = self.words
-        for w in re.findall(WORD, text):
-            out.extend(known.get(w) or self.word(w))
+    def word(self, text: str) -> bytes:
+        """Ids of a text between cuts."""
+        return self.packed(self._word_path(text))
+
+    def _step(self, state: int, code: int) -> int:
+        """The state after one more character. A state is the piece that ends here, and the pieces begun before that may go on,
+        each with the piece that it follows: all that the rest of the path depends on."""
+        last, *rest = memoryview(self.states[state]).cast("i")
+        found, on = -1, array("i", [0])
+        rest += (last, 0)
+        for k in range(0, len(rest), 2):  # longest first
+            before, node = rest[k], rest[k + 1]
+            after = self.trie.get(node << 21 | code)
+            piece = -1 if after is None else self.piece_at[after]
+            if piece < 0 and node == 0:
+                piece = self.other + code  # a single character is always an edge
+            if piece >= 0 and found < 0 and (before < 0 or self._fits(before, piece)):
+                found = piece
+            if after in self.inner:
+                on.extend((before, after))
+        on[0] = found
+        key = on.tobytes()
+        new = self.numbered.get(key)
+        if new is None:
+            new = self.numbered[key] = len(self.states)
+            self.states.append(key)
+            self.ending.append(found)
+            self.lengths.append(len(self.spelled(found)))
+        return new
+
+    def _fits(self, a: int, b: int) -> bool:
+        ok = self.fits.get(a << 21 | b)
+        return self.fit(a, b) if ok is None else ok
+
+    def _word_path(self, text: str) -> list[int]:
+        """``longest_paths`` and the way back for a text between cuts, where every place is some piece's end."""
+        steps, step, state, seen = self.steps, self._step, 0, []
+        for code in map(ord, text):
+            after = steps.get(state << 21 | code)
+            if after is None:
+                after = steps[state << 21 | code] = step(state, code)
+            state = after
+            seen.append(state)
+        path, end, ending, lengths = [], len(text), self.ending, self.lengths
+        while end:
+            state = seen[end - 1]
+            path.append(ending[state])
+            end -= lengths[state]
+        return path[::-1]
+
+    def _lockstep(self, words: list[str]) -> list[bytes]:
+        """``word`` for many short words of usual characters: all take their next step at once."""
+        size = np.array([*map(len, words)])
+        order = np.argsort(-size, kind="stable")
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        column = self.column[codes]
+        start = (np.cumsum(size) - size)[order]
+        size = size[order]
+        state, seen = np.zeros(len(words), np.int32), np.empty(len(codes), np.int32)
+        for k in range(size[0]):
+            on = np.searchsorted(-size, -k)  # words longer than k
+            at = start[:on] + k
+            now, c = state[:on], column[at]
+            after = self.table[now, c]
+            missing = np.flatnonzero(after == 0)
+            if len(missing):
+                pairs, first = np.unique(now[missing].astype(np.int64) << 32 | c[missing], return_index=True)
+                for pair, i in zip(pairs.tolist(), missing[first].tolist(), strict=True):
+                    to = self._step(pair >> 32, int(codes[at[i]]))
+                    if len(self.states) > len(self.table):
+                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                    self.table[pair >> 32, pair & 0xFFFFFFFF] = to
+                after = self.table[now, c]
+            seen[at] = state[:on] = after
+        piece, length = np.array(self.ending, np.int32), np.array(self.lengths, np.int32)
+        end, live, back = size.copy(), np.arange(len(words)), []
+        while len(live):
+            at = seen[start[live] + end[live] - 1]
+            back.append((live, piece[at]))
+            end[live] -= length[at]
+            live = live[end[live] > 0]
+        count = np.zeros(len(words), np.int64)
+        for w, _ in back:
+            count[w] += 1
+        stop = np.cumsum(count)
+        flat = np.empty(stop[-1], "<i4")
+        for k, (w, p) in enumerate(back):
+            flat[stop[w] - 1 - k] = p
+        raw, out = flat.tobytes(), [b""] * len(words)
+        for i, b, n in zip(order.tolist(), (4 * stop).tolist(), (4 * count).tolist(), strict=True):
+            out[i] = raw[b - n : b]
         return out
 
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts between cuts, word by word; each word is encoded once while it is remembered."""
+        parts = [WORD.findall(t) for t in texts]
+        new = {w for p in parts for w in p if w not in self.words}
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+            new = {w for p in parts for w in p}
+        if len(self.states) > REMEMBERED or len(self.steps) > REMEMBERED:
+            self._forget()
+        usual = [w for w in new if len(w) <= LOCKSTEP and self.usual.fullmatch(w)]
+        if usual:
+            self.words.update(zip(usual, self._lockstep(usual), strict=True))
+        for w in new.difference(usual):
+            self.words[w] = self.word(w)
+        known = self.words
+        return [b"".join([known[w] for w in p]) for p in parts]
+
+    def plain(self, text: str) -> bytes:
+        return self.encode_texts([text])[0]
+
     def crossing(self, text: str, at: int) -> list[State]:
         """Pieces that may cover or end at boundary ``at``: those that start before it and do not end before it."""
         if at == 0:
@@ -155,15 +295,28 @@ class Vocabulary:
         stop = lambda s: min(len(text), s + self.longest)
         return [(s, e) for s in starts for e in range(at, stop(s) + 1) if self.is_piece(text[s:e])]
 
+    def is_piece(self, text: str) -> bool:
+        return len(text) == 1 or text in self.id
+
     def cuts(self, text: str, lo: int, hi: int) -> list[int]:
-        """Word starts in [lo, hi): every path has a piece that ends there."""
-        return [k for k in range(max(lo, 1), hi) if text[k] == MARK and text[k - 1] != MARK]
+        """First and last place in [lo, hi) that every path has a piece's end at; empty if there is none."""
+        found = (w.start() for w in WORD.finditer(text, max(0, lo - 1)) if w.start() >= max(lo, 1))
+        first = next((k for k in found if k < hi and self._cut(text, k)), None)
+        if first is None:
+            return []
+        last = next(k for k in range(hi - 1, first - 1, -1) if self._cut(text, k))
+        return [first, last]
+
+    @staticmethod
+    def _cut(text: str, k: int) -> bool:
+        """A word never goes on from text[k - 1] to text[k]."""
+        return WORD.fullmatch(text[k - 1 : k + 1]) is None
 
     def transfer(self, text: str, lo: int, hi: int) -> dict[State, dict[State, float]]:
         """Max-plus matrix of the chunk [lo, hi): most pieces from each entering to each leaving state; what is not there is minus
         infinity. ``text`` reaches a piece's length beyond both ends."""
         leaving = self.crossing(text, hi)
-        cuts = [k for k in self.cuts(text, lo, hi) if k < hi]
+        cuts = self.cuts(text, lo, hi)
 
         def rows(entries: list[State], stop: int, ends: list[State]) -> dict[State, dict[State, float]]:
             out = {}
@@ -181,32 +334,30 @@ class Vocabulary:
             return out
 
         entering = self.crossing(text, lo)
-        if not cuts or cuts[0] == lo and len(cuts) == 1:
+        if not cuts:
             return rows(entering, hi, leaving)
         # up to the first cut, over whole words to the last one, and on to the end: three matrices, combined
-        first, last = cuts[0], cuts[-1]
-        head = rows(entering, first, [s for s in self.crossing(text, first) if s[1] == first])
+        first, last = cuts
         if first == lo:
-            head = {s: {s: 0.0} for s in entering if s[1] == first}
-        inner = float(sum(len(self.word_pieces(w)) for w in re.findall(WORD, text[first:last])))
+            head = {s: {s: 0.0} for s in entering if s[1] == first}  # the entering piece ends here
+        else:
+            head = rows(entering, first, [s for s in self.crossing(text, first) if s[1] == first])
+        inner = len(self.plain(text[first:last])) / 4
         # after a cut the way does not depend on the piece before it: words are apart
         mid = (-1, last)
         tail = rows([mid], hi, leaving).get(mid, {})
         return {entry: {end: n + inner + more for end, more in tail.items()} for entry, row in head.items() for n in [max(row.values(), default=MINUS_INFINITY)] if row}
 
-    def chunk_ids(self, text: str, entry: State, leave: State) -> list[int]:
+    def chunk_ids(self, text: str, entry: State, leave: State) -> bytes:
         """Ids of the pieces after ``entry`` up to and with ``leave``; whole words between cuts come from memory."""
-        lo, hi = entry[1], leave[1]
-        cuts = [k for k in self.cuts(text, lo, hi) if k > lo] if entry[0] >= 0 else self.cuts(text, lo, hi)
-        if not cuts or leave == entry:
-            return [i for p in self.trace(text, entry, leave) for i in self.ids_of(p)]
-        first, last = cuts[0], cuts[-1]
-        out: list[int] = []
-        if first > lo:
-            ends = self.longest_paths(text, entry, first, first)[first][0]
-            out += [i for p in self.trace(text, entry, (ends, first)) for i in self.ids_of(p)]
-        out += self.plain(text[first:last])
-        return out + [i for p in self.trace(text, (-1, last), leave) for i in self.ids_of(p)]
+        cuts = self.cuts(text, entry[1], leave[1]) if leave != entry else []
+        if not cuts:
+            return self.packed(self.trace(text, entry, leave))
+        first, last = cuts
+        head = []
+        if first > entry[1]:
+            head = self.trace(text, entry, (self.longest_paths(text, entry, first, first)[first][0], first))
+        return self.packed(head) + self.plain(text[first:last]) + self.packed(self.trace(text, (-1, last), leave))
 
 
 def product(a: dict, b: dict) -> dict:
@@ -226,13 +377,23 @@ def marked(text: str) -> str:
     return (" " + text).replace(" ", MARK) if text else ""
 
 
-def decode(vocabulary: Vocabulary, ids) -> str:
-    """The text of ids: pieces and bytes joined, marks back to blanks, without the leading one."""
-    out = b"".join([vocabulary.raw[i] for i in ids])
-    text = out.decode(errors="replace").replace(MARK, " ")
+def spelled(raw: bytes) -> str:
+    """Marks back to blanks, without the leading one."""
+    text = raw.decode(errors="replace").replace(MARK, " ")
     return text[1:] if text[:1] == " " else text
 
 
+def decode(pieces: list[bytes], ids) -> str:
+    """The text of ids: ``spellings`` joined."""
+    return spelled(b"".join([pieces[i] for i in ids]))
+
+
+def lists(packed: list[bytes]) -> pa.Array:
+    """A list column from int32 bytes."""
+    offsets = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
 def _vocabulary(path: str) -> Vocabulary:
     return per_worker(f"sentencepiece {path}", lambda: Vocabulary(path))
 
@@ -241,8 +402,10 @@ def _short(path: str):
     def scan(batches):
         v = _vocabulary(path)
         for b in batches:
-            ids = [np.array(v.plain(marked(t or "")), np.int32) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["row", "ids"])
+            for at in range(0, b.num_rows, AT_ONCE):
+                some = b.slice(at, AT_ONCE)
+                ids = v.encode_texts([marked(t or "") for t in some.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([some.column(0), lists(ids)], ["row", "ids"])
 
     return scan
 
@@ -254,40 +417,43 @@ def _matrices(path: str):
             out = []
             for text, lo, hi, shift in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
                 m = v.transfer(text, lo, hi)
-                out.append([(s[0] + shift if s[0] >= 0 else -1, s[1] + shift, e[0] + shift, e[1] + shift, n) for s, row in m.items() for e, n in row.items()])
-            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("n", pa.float64())]))
-            cells = pa.array([[dict(zip("abcdn", c, strict=True)) for c in m] for m in out], kind)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cells], ["row", "chunk", "cells"])
+                cells = [(s[0] + shift if s[0] >= 0 else -1, s[1] + shift, e[0] + shift if e[0] >= 0 else -1, e[1] + shift, n) for s, row in m.items() for e, n in row.items()]
+                out.append(np.array(cells, "<f8").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["row", "chunk", "cells"])
 
     return scan
 
 
-def _scanned(pdf):
-    """Of one text: the entering and the leaving piece of each chunk, from prefix products of the chunks' matrices."""
-    import pandas as pd
-
-    pdf = pdf.sort_values("chunk")
+def way_through(cells: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+    """Of one text: the entering and the leaving piece of each chunk, and the ids before it, from prefix products of the chunks'
+    matrices."""
     matrices = []
-    for cells in pdf["cells"]:
+    for packed in cells:
         m: dict = {}
-        for c in cells:
-            m.setdefault((c["a"], c["b"]), {})[c["c"], c["d"]] = c["n"]
+        for a, b, c, d, n in np.frombuffer(packed, "<f8").reshape(-1, 5).tolist():
+            m.setdefault((int(a), int(b)), {})[int(c), int(d)] = n
         matrices.append(m)
     prefix, prefixes = {(-1, 0): {(-1, 0): 0.0}}, []
     for m in matrices:
         prefix = product(prefix, m)
         prefixes.append(prefix[-1, 0])
-    ends = max(e for _, e in prefixes[-1])
-    leave = [max((s for s in prefixes[-1] if s[1] == ends), key=lambda s: prefixes[-1][s])]
+    end = max(e for _, e in prefixes[-1])
+    leave = [max((s for s in prefixes[-1] if s[1] == end), key=lambda s: prefixes[-1][s])]
     for k in range(len(matrices) - 1, 0, -1):  # the one entering state that reaches the leaving one
         reach = [s for s, row in matrices[k].items() if leave[-1] in row and s in prefixes[k - 1]]
         leave.append(max(reach, key=lambda s: prefixes[k - 1][s] + matrices[k][s][leave[-1]]))
     leave.reverse()
-    enter = [(-1, 0), *leave[:-1]]
-    return pd.DataFrame({
-        "row": pdf["row"], "chunk": pdf["chunk"], "a": [s[0] for s in enter], "b": [s[1] for s in enter], "c": [s[0] for s in leave], "d": [s[1] for s in leave],
-        "before": [0, *(int(p[s]) for p, s in zip(prefixes, leave, strict=True))][:-1],
-    })
+    before = [0, *(int(p[s]) for p, s in zip(prefixes, leave, strict=True))]
+    return [(*a, *b, n) for a, b, n in zip([(-1, 0), *leave[:-1]], leave, before, strict=False)]
+
+
+def _ways(batches):
+    for b in batches:
+        ways = [way_through(cells) for cells in b.column(1).to_pylist()]
+        flat = np.array([x for w in ways for x in w], np.int64).reshape(-1, 5)
+        row = np.repeat(np.arange(len(ways)), [len(w) for w in ways])
+        chunk = np.concatenate([np.arange(len(w)) for w in ways]) if ways else row
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(chunk.astype(np.int32)), *(pa.array(flat[:, k]) for k in range(5))], ["row", "chunk", "a", "b", "c", "d", "before"])
 
 
 def _traced(path: str):
@@ -296,19 +462,23 @@ def _traced(path: str):
         for b in batches:
             ids = []
             for text, shift, a, b_, c, d in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5, 6, 7)), strict=True):
-                ids.append(v.chunk_ids(text, (a - shift if a >= 0 else -1, b_ - shift), (c - shift, d - shift)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["row", "chunk", "ids"])
+                ids.append(v.chunk_ids(text, (a - shift if a >= 0 else -1, b_ - shift), (c - shift if c >= 0 else -1, d - shift)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(ids)], ["row", "chunk", "ids"])
 
     return scan
 
 
 def _decoded(path: str):
     def scan(batches):
-        v = _vocabulary(path)
-        for b in batches:
-            ids = b.column(1).to_pylist()
-            crc = [zlib.crc32(np.array(i, "<u4").tobytes()) for i in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode(v, i) for i in ids], pa.string()), pa.array(crc, pa.int64())], ["row", "decoded", "ids_crc32"])
+        pieces = per_worker(f"spellings {path}", lambda: spellings(path))
+        for b in (x.slice(at, AT_ONCE) for x in batches for at in range(0, x.num_rows, AT_ONCE)):
+            column = b.column(1)
+            cuts = column.offsets.to_numpy()
+            flat, cuts = column.values.to_numpy()[cuts[0] : cuts[-1]], cuts - cuts[0]
+            raw = [pieces[i] for i in flat.tolist()]
+            text = [spelled(b"".join(raw[lo:hi])) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            crc = [zlib.crc32(flat[lo:hi].astype("<u4").tobytes()) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(crc, pa.int64())], ["row", "decoded", "ids_crc32"])
 
     return scan
 
@@ -339,9 +509,10 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     chunks = materialise(chunks, "chunks")
     local = chunks.select("row", "chunk", "text", (F.col("from") - F.col("shift")).alias("lo"), (F.col("to") - F.col("shift")).alias("hi"), "shift")
     row_kind = "row struct<id:bigint,h1:bigint,h2:bigint>"
-    cells = local.repartition("row", "chunk").mapInArrow(_matrices(model_path), f"{row_kind}, chunk int, cells array<struct<a:bigint,b:bigint,c:bigint,d:bigint,n:double>>")
+    cells = local.repartition("row", "chunk").mapInArrow(_matrices(model_path), f"{row_kind}, chunk int, cells binary")
     # a matrix is a few dozen cells whatever the chunk's length
-    way = cells.groupBy("row").applyInPandas(_scanned, f"{row_kind}, chunk int, a long, b long, c long, d long, before long")
+    of_text = cells.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "cells"))), lambda c: c["cells"]).alias("cells"))
+    way = of_text.mapInArrow(_ways, f"{row_kind}, chunk int, a long, b long, c long, d long, before long")
     traced = chunks.join(way, ["row", "chunk"]).select("row", "chunk", "text", "shift", "a", "b", "c", "d").mapInArrow(_traced(model_path), f"{row_kind}, chunk int, ids array<int>")
     whole = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     long_ = whole.join(counts, "row").select("row.id", F.flatten("parts.ids").alias("ids"), F.size("parts").alias("n_chunks"), F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy"))
