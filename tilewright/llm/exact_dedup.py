@@ -101,7 +101,7 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     keep_id = F.coalesce("all_id", "run_id")
     return runs.join(F.broadcast(border), ["part", "run"], "left").select(
-        F.col("id").alias(id_col),
+        "id",
         keep_id.alias("keep_id"),
         F.coalesce("all_rows", "run_rows").alias("group_size"),
         F.coalesce(F.col("id") == keep_id, keep_id.isNull()).alias("kept"),
@@ -110,7 +110,7 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content_sort_dedup(documents(spark, sf_dir), keep="largest")
+    return content_sort_dedup(documents(spark, sf_dir), keep="largest").withColumnRenamed("id", "doc_id")
 
 
 ORACLE = """
