@@ -161,6 +161,3 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = predict(docs, fit_documents(docs))
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score", "gram_share")
-
-
-ORACLE = None

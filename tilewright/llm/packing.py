@@ -219,6 +219,3 @@ def default_vocabulary_folder() -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pack(documents(spark, sf_dir), default_vocabulary_folder())
     return p.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
-ORACLE = None

@@ -16,4 +16,9 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_media_columns": media.op8_media_columns,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+ORACLES = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
+    "op4_suffix_dedup": suffix_dedup.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
+    "op9_secret_scan": secret_scan.ORACLE,
+}

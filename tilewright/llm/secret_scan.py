@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ._common import documents
 
 # The patterns of the base kinds, and what their matches need (characters of the group, of the match).
-ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_KEYWORDS = "(?i:password|passwd|secret|token|api_?key)"
+ASSIGN = ASSIGN_KEYWORDS + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_HINT = r"(?i:passw|secret|token|api_?key)"
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
@@ -179,4 +180,37 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("id").alias("doc_id"), *(count(k) for k in BASE_KINDS), F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("found").alias("spans"))
 
 
-ORACLE = None
+def _oracle() -> str:
+    """The patterns as in the operator; letters of keywords spelled out in both cases; windows counted afresh."""
+    both = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = [(0, "assign", ASSIGN.replace(ASSIGN_KEYWORDS, f"(?:{both})")), (1, "access", ACCESS), (2, "hex", HEX), (9, "word", CANDIDATE)]
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {rank} AS rank, '{name}' AS kind, unnest(string_split_regex(t, {quote(p)})) AS gap, unnest(regexp_extract_all(t, {quote(p)})) AS hit, "
+        f"unnest(regexp_extract_all(t, {quote(p)}, {1 if rank == 0 else 0})) AS part, unnest(range(0, len(t) + 1)[1:len(regexp_extract_all(t, {quote(p)})) + 1]) AS k FROM t"
+        for rank, name, p in kinds
+    )
+    classes = " UNION ALL ".join(
+        f"SELECT doc_id, {len(BASE_KINDS) + k} AS rank, '{name}' AS kind, min(pos) AS start, max(pos) + {WINDOW} AS stop FROM h WHERE regexp_full_match(win, '[{alphabet.replace("-", "")}{"-" * ("-" in alphabet)}]+') AND e >= {least} GROUP BY doc_id, first"
+        for k, (name, alphabet, least) in enumerate(CLASSES)
+    )
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({found}),
+s AS (SELECT doc_id, rank, kind, hit, part, sum(len(gap)) OVER w + coalesce(sum(len(hit)) OVER v, 0) AS start FROM m WHERE k IS NOT NULL
+  WINDOW w AS (PARTITION BY doc_id, rank ORDER BY k), v AS (PARTITION BY doc_id, rank ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+base AS (SELECT doc_id, rank, kind, CAST(start AS BIGINT) AS start, CAST(start + len(hit) AS BIGINT) AS stop FROM s WHERE hit IS NOT NULL AND rank < 9 AND (rank > 0 OR len(part) >= {ASSIGN_LEAST})),
+c AS (SELECT doc_id, start AS first, hit, unnest(range(0, len(hit) - {WINDOW} + 1)) AS w FROM s WHERE rank = 9 AND hit IS NOT NULL AND NOT ({" OR ".join(f"regexp_matches(hit, {quote(p)})" for p in ALLOWED)})),
+x AS (SELECT doc_id, first, w, substr(hit, CAST(w AS BIGINT) + 1, {WINDOW}) AS win, unnest(string_split(substr(hit, CAST(w AS BIGINT) + 1, {WINDOW}), '')) AS ch FROM c),
+n AS (SELECT doc_id, first, w, win, ch, count(*) AS n FROM x GROUP BY ALL),
+h AS (SELECT doc_id, first, CAST(first + w AS BIGINT) AS pos, win, log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} AS e FROM n GROUP BY ALL),
+more AS ({classes}),
+b AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM base GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(a.spans, '') AS spans
+FROM t LEFT JOIN b ON b.doc_id = t.doc_id LEFT JOIN a ON a.doc_id = t.doc_id
+"""
+
+
+ORACLE = _oracle()

@@ -536,6 +536,3 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_model_path()
     d = decode_ids(encode(documents(spark, sf_dir), path), path)
     return d.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "n_chunks", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
-
-
-ORACLE = None

@@ -273,6 +273,3 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = simhash_groups(documents(spark, sf_dir))
     return g.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-ORACLE = None

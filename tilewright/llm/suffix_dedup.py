@@ -424,4 +424,20 @@ def brute_force(texts: dict[int, bytes]) -> dict[int, tuple[int, int, int, str]]
     return out
 
 
-ORACLE = None
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS s FROM d)),
+f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g),
+r AS (SELECT doc_id, s FROM w JOIN f USING (g) WHERE first < doc_id),
+i AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 50 THEN 0 ELSE 1 END AS new FROM r),
+k AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM i),
+sp AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM k GROUP BY doc_id, k),
+seg AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo, a AS hi FROM sp
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), n FROM d LEFT JOIN sp ON sp.doc_id = d.doc_id GROUP BY d.doc_id, n
+),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS k FROM seg JOIN d USING (doc_id) GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM sp GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""

@@ -186,6 +186,3 @@ def url_filter(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rul
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("id", "page_id")
-
-
-ORACLE = None
