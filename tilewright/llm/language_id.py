@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ._common import documents, small_batches
@@ -115,7 +116,7 @@ def rates(model: Model, texts: list[bytes]) -> np.ndarray:
     return np.clip((out - false) / (1 - false), 0, 1)
 
 
-def _predict(shared):
+def _predict(shared, first: str):
     def scan(batches):
         model = Model(*shared.value)
         for b in batches:
@@ -130,7 +131,7 @@ def _predict(shared):
                     lang[k] = model.languages[best[row]] if top > 0 else model.fallback
                     score[k] = float(top / total[row]) if top > 0 else 0.0
                     fit_[k] = float(top)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(fit_)], ["id", "lang_pred", "score", "gram_share"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(fit_)], [first, "lang_pred", "score", "gram_share"])
 
     return scan
 
@@ -140,10 +141,22 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ``gram_share``: its corrected share itself. Null, empty and letterless texts: ``und``, 0. A text with letters whose grams
     are all unknown gets the most frequent language with score 0. Ties go to the language first in the alphabet. Repeated
     rows repeat, null ids stay, an empty table gives an empty result, other columns are not read."""
-    spark = df.sparkSession
+    return _predicted(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), model)
+
+
+def with_language(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``row, lang_pred, score, gram_share``: the same beside each whole row, as a struct whose names cannot clash. Rows stay where
+    they are, so a filter on the prediction needs no join."""
+    return _predicted(df.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), model)
+
+
+def _predicted(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows``: anything, and the text."""
+    spark = rows.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(astuple(model))  # 2^18 slots: a fixed size
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_predict(shared), "id long, lang_pred string, score double, gram_share double")
+    kind = StructType([rows.schema[0], *(StructField(n, t) for n, t in (("lang_pred", StringType()), ("score", DoubleType()), ("gram_share", DoubleType())))])
+    return rows.mapInArrow(_predict(shared, rows.columns[0]), kind)
 
 
 def held_out(id_col) -> F.Column:
