@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import string
 import sys
+import time
 import types
 import uuid
 
@@ -65,6 +67,15 @@ def discard(df: DataFrame) -> None:
     _folders.remove(entry)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are over. They go when the driver's JVM collects what refers to them, which is
+    not before its listeners have heard of the job's end."""
+    for _ in range(2):
+        time.sleep(0.5)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def per_worker(name: str, make):
     """What ``make`` returns, made once for each Python worker; task functions come pickled by value, so a module's own
     globals would be made anew for each task."""

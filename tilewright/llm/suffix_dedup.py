@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BATCH_ROWS, discard, documents, materialise, small_batches
+from ._common import BATCH_ROWS, discard, documents, materialise, release, small_batches
 
 #: Bytes of a match, of a k-mer, and before an anchor within a window.
 MATCH, KMER = 50, 20
@@ -364,6 +364,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     judged = (F.col("id").isNotNull()) & (F.col("n_bytes") >= MATCH)
     owners = materialise(keys.filter(judged).groupBy("sha").agg(F.min(F.struct("id", "key")).alias("o")).select("o.id", "o.key"), "owners")
     texts = _bucketed(rows.filter(F.col("id").isNotNull() & (F.octet_length("text") >= MATCH)).join(owners, ["id", "key"], "left_semi"), ["id", "key"])
+    release(spark)
 
     kind = "kmer long, context long, id long, key long, at int"
     dealt = texts.select("id", "key", "text").mapInArrow(_anchor_rows, kind)
@@ -379,6 +380,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dealt = dealt.join(F.broadcast(frequent), "kmer", "left").select("kmer", salt.alias("salt"), "context", "id", "key", "at")
     settled = materialise(dealt.repartition("kmer", "salt").sortWithinPartitions("kmer", "salt", "context", "id").mapInArrow(_settle, "kmer long, id long, key long, at int, settled boolean"), "anchors")
     small_batches(spark)
+    release(spark)
 
     at = settled.filter(~F.col("settled")).groupBy("id", "key").agg(F.collect_list(F.struct("at", "kmer")).alias("a"))
     open_ = texts.join(at, ["id", "key"]).select("id", "key", "text", "a.at", "a.kmer")
