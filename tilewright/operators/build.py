@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +24,12 @@ class RectIndex:
     meta: DataFrame
     pages: list[int]  #: of each level, leaves first
     root_page: int
+    kept: list[DataFrame] = field(default_factory=list)  #: levels that executors may hold
+
+    def release(self) -> None:
+        """Let executors drop the levels that they hold; later queries pack again."""
+        for level in self.kept:
+            level.unpersist()
 
     @property
     def height(self) -> int:
@@ -67,16 +73,17 @@ def build_index(rects: DataFrame, fill: float | None = None, fill_leaf: float =
     rects = G.checked(rects)
     n = rects.count()
     pages = shape.level_pages(n, leaf_cap, internal_cap)
-    level, size, base, parts, nodes = rects.select(*G.SIDES, F.col("id").alias("child")), n, 1, [], []
+    level, size, base, parts, nodes, kept = rects.select(*G.SIDES, F.col("id").alias("child")), n, 1, [], [], []
     for number, count in enumerate(pages):
         entries = str_level(level, size, leaf_cap if number == 0 else internal_cap, base, number, one_task_rows)
-        if size > one_task_rows or len(pages) > 3:
-            entries = written(entries, f"level{number}")  # read again for its nodes and for the entries
+        # read again for its nodes and for the entries: written if large, else kept by the executors, at most one_task_rows
+        entries = written(entries, f"level{number}") if size > one_task_rows else entries.persist()
+        kept.append(entries)
         own = level_nodes(entries)
         parts.append(entries.drop("slice"))
         nodes.append(own)
         level, size, base = own.select(*G.SIDES, F.col("page").alias("child")), count, base + count
-    index = RectIndex(reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, nodes), None, pages, sum(pages))
+    index = RectIndex(reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, nodes), None, pages, sum(pages), kept)
     index.meta = tree_meta(spark, index, nodes[-1], n, leaf_cap, internal_cap, fill_leaf, fill_internal)
     return index
 
