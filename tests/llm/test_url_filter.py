@@ -51,8 +51,8 @@ def test_trees_learn_held_out_urls(spark):
 
 
 def test_features():
-    x = dict(zip(m.FEATURES, m.lexical(["https://a-b.c.net/x1/y?k=1&l=2#f"], ["a-b.c.net"], ["/x1/y"], {"": (0.5, 0.0), "net": (0.25, 8.0)})[0], strict=True))
-    assert (x["depth"], x["parameters"], x["labels"], x["hyphens"], x["has_fragment"], x["is_https"], x["suffix_rate"]) == (2, 2, 3, 1, 1, 1, 0.25)
+    x = dict(zip(m.FEATURES, m.lexical(["https://a-b.c.net/x1/y?k=1&l=2#f"], ["a-b.c.net"], ["/x1/y"], {"": (0.5, 0.0), "net/": (0.25, 8.0), "net/x1/": (0.75, 2.0)})[0], strict=True))
+    assert (x["depth"], x["parameters"], x["labels"], x["hyphens"], x["has_fragment"], x["is_https"], x["suffix_rate"], x["domain_rate"], x["section_rate"]) == (2, 2, 3, 1, 1, 1, 0.25, 0.5, 0.75)
     assert x["digit_ratio"] == 3 / 32 and 3 < x["entropy"] < 5
 
 

@@ -25,7 +25,8 @@ SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS, PRIOR = 40, 3, 0.2, 32, 5.0
 FEATURES = (
     "length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens",
-    "longest_segment", "vowel_ratio", "has_fragment", "is_https", "suffix_rate", "suffix_rows",
+    "longest_segment", "vowel_ratio", "has_fragment", "is_https",
+    "suffix_rate", "suffix_rows", "domain_rate", "domain_rows", "section_rate", "section_rows",
 )
 
 # The rules of the registered query, as (verdict, host and path).
@@ -73,24 +74,31 @@ def lexical(urls: Sequence[str | None], hosts: Sequence[str], paths: Sequence[st
         url = url or ""
         n = max(1, len(url))
         query = url.partition("#")[0].partition("?")[2]
-        rate, rows = suffixes.get(host.rpartition(".")[2], suffixes[""])
+        known = [suffixes.get(key, suffixes[""]) for key in suffix_keys(host, path)]
         out[k] = (
             len(url), len(host), len(path), path.count("/"), sum(c.isdigit() for c in url) / n,
             -sum(c / n * math.log2(c / n) for c in Counter(url).values()), (query.count("&") + 1) if query else 0, host.count(".") + bool(host),
-            url.count("-"), max(map(len, path.split("/"))), sum(url.count(v) for v in "aeiou") / n, "#" in url, url.startswith("https:"), rate, math.log1p(rows),
+            url.count("-"), max(map(len, path.split("/"))), sum(url.count(v) for v in "aeiou") / n, "#" in url, url.startswith("https:"),
+            *(x for rate, rows in known for x in (rate, math.log1p(rows))),
         )
     return out
 
 
-def suffix_statistics(hosts: Sequence[str], blocked: np.ndarray) -> dict[str, tuple[float, float]]:
-    """Of each last label of a host: its smoothed rate of blocked rows and its rows; "" for labels not seen."""
+def suffix_keys(host: str, path: str) -> tuple[str, str, str]:
+    """What statistics are kept of: the last label, the last two, and the last label with the path's first segment."""
+    labels = host.split(".")
+    return labels[-1] + "/", ".".join(labels[-2:]), f"{labels[-1]}/{path.split('/')[1] if '/' in path else ''}/"
+
+
+def suffix_statistics(hosts: Sequence[str], paths: Sequence[str], blocked: np.ndarray) -> dict[str, tuple[float, float]]:
+    """Of each suffix: its smoothed rate of blocked rows and its rows; "" for what was not seen."""
     mean = float(blocked.mean()) if len(blocked) else 0.5
     rows, hits = Counter(), Counter()
-    for host, b in zip(hosts, blocked, strict=True):
-        label = host.rpartition(".")[2]
-        rows[label] += 1
-        hits[label] += float(b)
-    return {"": (mean, 0.0)} | {s: ((hits[s] + PRIOR * mean) / (rows[s] + PRIOR), float(rows[s])) for s in rows if s}
+    for host, path, b in zip(hosts, paths, blocked, strict=True):
+        for key in suffix_keys(host, path):
+            rows[key] += 1
+            hits[key] += float(b)
+    return {"": (mean, 0.0)} | {s: ((hits[s] + PRIOR * mean) / (rows[s] + PRIOR), float(rows[s])) for s in rows}
 
 
 def boost(x: np.ndarray, y: np.ndarray, suffixes: dict[str, tuple[float, float]]) -> Model:
@@ -162,7 +170,7 @@ def fit(labelled: DataFrame) -> Model:
     rows = labelled.filter(part).select("url", "host", "path", (F.col("verdict") == "block").cast("double").alias("y")).limit(2 * SAMPLE).toPandas()
     rows = rows.sort_values(["url", "y"])  # the order in which rows arrive does not matter
     y = rows["y"].to_numpy(np.float64)
-    suffixes = suffix_statistics(rows["host"], y)
+    suffixes = suffix_statistics(rows["host"], rows["path"], y)
     return boost(lexical(rows["url"].tolist(), rows["host"].tolist(), rows["path"].tolist(), suffixes), y, suffixes)
 
 
