@@ -17,10 +17,10 @@ def ceil_div(a: int, b: int) -> int:
 
 
 def capacity(fill: float, most: int = MAX_ENTRIES) -> int:
-    """Entries of a page at a fill factor in (0, 1]; the factor is a float32, and at least two entries fit."""
+    """Entries of a page at a fill factor in (0, 1]; the factor is a float32, its product a double, and at least two entries fit."""
     if not 0 < fill <= 1:
         raise ValueError(f"a fill factor lies in (0, 1]: {fill}")
-    return min(most, max(2, int(f32(f32(fill) * f32(most)))))
+    return min(most, max(2, int(f32(fill) * most)))
 
 
 def slice_width(n: int, cap: int) -> int:

@@ -76,8 +76,9 @@ def build_index(rects: DataFrame, fill: float | None = None, fill_leaf: float =
     level, size, base, parts, nodes, kept = rects.select(*G.SIDES, F.col("id").alias("child")), n, 1, [], [], []
     for number, count in enumerate(pages):
         entries = str_level(level, size, leaf_cap if number == 0 else internal_cap, base, number, one_task_rows)
-        # read again for its nodes and for the entries: written if large, else kept by the executors, at most one_task_rows
-        entries = written(entries, f"level{number}") if size > one_task_rows else entries.persist()
+        # read again for its nodes and for the entries: written if the level is large or the tree deep (plans of kept tables
+        # nest), else kept by the executors, at most one_task_rows
+        entries = written(entries, f"level{number}") if size > one_task_rows or len(pages) > 3 else entries.persist()
         kept.append(entries)
         own = level_nodes(entries)
         parts.append(entries.drop("slice"))
