@@ -28,21 +28,25 @@ SAMPLE, ROW_COST = 3000, 30
 GROUP = 1 << 19
 
 
-def fingerprint(text: bytes) -> int:
-    """Majority of each bit over the XXH64 of all word shingles; 0 without words."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, or of all words where there are fewer."""
     import xxhash
 
     words = text.lower().split()  # of bytes: A-Z alone, and exactly the ASCII white space
-    if not words:
-        return 0
     joined = b" ".join(words)
     ends = list(itertools.accumulate(len(w) + 1 for w in words))
     starts, digest = [0, *ends], xxhash.xxh64_intdigest
-    last = SHINGLE - 1
+    last = shingle - 1
     if len(words) <= last:
-        return digest(joined, SEED)
-    hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[last:], strict=False)]
-    h = np.array(hashes, np.uint64)
+        return np.array([digest(joined, SEED)], np.uint64)
+    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[last:], strict=False)], np.uint64)
+
+
+def fingerprint(text: bytes) -> int:
+    """Majority of each bit over the XXH64 of all word shingles; 0 without words."""
+    if not text.strip():
+        return 0
+    h = shingle_hashes(text)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
