@@ -92,3 +92,19 @@ def test_prefix_sums_over_chunks(spark):
 def test_main_path_is_native(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert not re.search("Python|Pandas|Arrow", m.secret_spans(df)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_pipeline_masks_random_keys_of_narrow_alphabets(spark):
+    import corpus_pipeline
+
+    rng, rows = random.Random(12), []
+    alphabets = ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789")
+    for alphabet in alphabets:
+        for size in (24, 32, 40, 64):
+            rows += [(len(rows) + k, "key " + "".join(rng.choices(alphabet, k=size)) + " end", size, alphabet) for k in range(50)]
+    rows.append((-1, "plain words and INTERNATIONALIZATIONS 2024-01-02 123e4567-e89b-12d3-a456-426614174000", 0, ""))
+    df = spark.createDataFrame([(*r, r[2]) for r in rows], "doc_id long, text string, size long, alphabet string, n_chars long")
+    out = corpus_pipeline.redact_secrets(spark, df, None).collect()
+    masked = Counter((r["alphabet"], r["size"]) for r in out if "[REDACTED]" in r["text"])
+    assert all(masked[a, size] >= 47 for a in alphabets for size in (24, 32, 40, 64)), masked
+    assert masked["", 0] == 0

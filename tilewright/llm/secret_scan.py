@@ -33,6 +33,13 @@ CLASSES = (
     ("entropy_hex", "0123456789abcdef", 3.0),
     ("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.9),
 )
+#: Further classes that redaction scans: alphabets whose random strings seldom reach 3.9 bits. Each threshold is near the 1% point of one
+#: random window's entropy (2.88 bits for 16 symbols, 3.40 for 36). ``op9_secret_scan`` has the classes of its SQL alone.
+NARROW_CLASSES = (
+    ("entropy_upper_hex", "0123456789ABCDEF", 2.88),
+    ("entropy_upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.4),
+    ("entropy_lower", "abcdefghijklmnopqrstuvwxyz0123456789", 3.4),
+)
 #: Candidates that are no secrets: words, numbers and rules, UUIDs, and strings that call themselves examples.
 ALLOWED = ("^[A-Za-z_/=+-]+$", "^[0-9_/=+-]+$", "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", "(?i:example|sample|placeholder|dummy|xxxx)")
 #: Elements that prefix sums take at a time; appending to an array copies it.
@@ -98,7 +105,7 @@ def _entropy(candidate: Column, alphabet: str, least: float) -> Column:
     return F.aggregate(codes, start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
-def _spanned(rows: DataFrame, allowed: Sequence[str]) -> DataFrame:
+def _spanned(rows: DataFrame, allowed: Sequence[str], classes: Sequence[tuple[str, str, float]] = CLASSES) -> DataFrame:
     """``row, text`` with ``base`` and ``found`` added."""
     kinds = (("assign", ASSIGN, F.col("text").rlike(ASSIGN_HINT)), ("access", ACCESS, F.col("text").contains("AKIA")), ("hex", HEX, F.col("text").rlike(HEX)), ("word", CANDIDATE, F.col("text").rlike(CANDIDATE)))
     strings = "array<string>"
@@ -137,7 +144,7 @@ def _spanned(rows: DataFrame, allowed: Sequence[str]) -> DataFrame:
         "row",
         "text",
         F.array_sort(F.concat(*(base(k, name) for k, name in enumerate(BASE_KINDS)))).alias("base"),
-        F.concat(*(scanned(len(BASE_KINDS) + k, *c) for k, c in enumerate(CLASSES))).alias("more"),
+        F.concat(*(scanned(len(BASE_KINDS) + k, *c) for k, c in enumerate(classes))).alias("more"),
     )
     return both.select("row", "text", "base", F.array_sort(F.concat("base", "more")).alias("found"))
 
@@ -157,8 +164,8 @@ def span_text(spans) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def redact(df: DataFrame, text_col: str = "text", mask: str = "[REDACTED]", allowed: Sequence[str] = ALLOWED) -> DataFrame:
-    """``df`` with every found span of its text replaced by ``mask``; spans that overlap or touch share one. Null texts stay
+def redact(df: DataFrame, text_col: str = "text", mask: str = "[REDACTED]", allowed: Sequence[str] = ALLOWED, classes: Sequence[tuple[str, str, float]] = CLASSES) -> DataFrame:
+    """``df`` with every span of its text that the patterns or ``classes`` find replaced by ``mask``; spans that overlap or touch share one. Null texts stay
     null; other columns, whatever their names, pass through; rows neither come nor go."""
     rows = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     start = F.struct(F.lit(0).cast("long").alias("at"), _none("array<string>").alias("out"))
@@ -171,7 +178,7 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[REDACTED]", allo
 
     clean = F.aggregate("found", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"].cast("int") + 1, F.length("text"))))
     changed = F.when(F.size("found") > 0, clean).otherwise(F.col("row")[text_col])
-    return _spanned(rows, allowed).select(F.col("row").withField(text_col, changed).alias("row")).select("row.*")
+    return _spanned(rows, allowed, classes).select(F.col("row").withField(text_col, changed).alias("row")).select("row.*")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
