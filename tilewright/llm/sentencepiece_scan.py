@@ -2,17 +2,24 @@
 
 A merge-based vocabulary has one encoding of a text, and a sequence of pieces is that encoding iff each two neighbours are
 the encoding of their concatenation. So encoding is a longest-path problem: positions are states, pieces are edges, a
-step onto a piece costs 1, and a step between pieces that do not fit costs minus infinity. A chunk of a giant text is then
-a matrix from the pieces that may cross its start to those that may cross its end. The matrices of a text's chunks are
-combined by the max-plus product, which is associative; the prefix products give each chunk the piece that enters and the
-piece that leaves it and how many come before, and each chunk is traced back for itself.
-
-Short texts are one chunk. Within a chunk the path is found word by word: no piece of the vocabulary holds a word start
-after another character, or a letter beside anything that is no letter, so such places are cuts that every path goes through.
+step onto a piece counts its ids, and a step between pieces that do not fit weighs minus infinity.
+
+Every text is cut into chunks of ``CHUNK`` characters, one or many. A chunk is a matrix from the pieces that may cross its start
+to those that may cross its end, holding the ids between. The matrices of a text are combined by the max-plus product, which
+is associative: blocks of ``FAN`` neighbours are multiplied level by level up to one matrix of the text, and on the way down
+each block hands its members the piece that enters and the piece that leaves them and the ids before. Then each chunk is
+traced back for itself.
+
+Paths within a chunk are followed by an automaton, whose state is all that the rest of a path depends on. No piece of the
+vocabulary holds a word start after another character, or a letter beside anything that is no letter, so such places are cuts
+that every path goes through. Between a chunk's first and last cut the path does not depend on its ends: it is followed once,
+word by word, and only what lies before and after is followed for each entering piece and traced when that is known. A text's own ends are
+cuts, so a text of one chunk is that middle alone, and its product has one factor.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import string
 import zlib
@@ -26,8 +33,8 @@ from pyspark.sql import functions as F
 from ._common import documents, materialise, per_worker, small_batches
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Characters of a chunk, and of a text from which it is cut into chunks.
-CHUNK, GIANT = 1 << 15, 1 << 16
+#: Characters of a chunk, and neighbours that one product takes.
+CHUNK, FAN = 1 << 13, 64
 #: Words and states that a worker remembers, and twice as many pairs of pieces; it starts afresh beyond.
 REMEMBERED = 160_000
 #: Texts whose words are looked up together.
@@ -37,8 +44,10 @@ MARK = "▁"
 WORD = re.compile(rf"{MARK}*(?:[^\W\d_²]+|(?:[^\w{MARK}]|[\d_²])+)|{MARK}+")
 #: Characters and the longest word that many words step over at once; others step one by one.
 USUAL, LOCKSTEP = MARK + string.ascii_letters + ".,-#*$%&|:;'!?0123456789" + "àáâäçèéêëìíîïñòóôöùúûüßÉÈÀÖÄÜÑ", 48
-MINUS_INFINITY = float("-inf")
-State = tuple[int, int]  #: a piece by its start and end in the text
+#: What ends at a place that no path goes through.
+NOWHERE = -2
+State = tuple[int, int]  #: a piece by its start and end in the text; (-1, 0) and (end, end) are the text's own ends
+Matrix = dict[State, dict[State, int]]  #: what is not there weighs minus infinity
 
 
 def spellings(path: str) -> list[bytes]:
@@ -95,7 +104,7 @@ class Vocabulary:
         """Begin with the one state in front of a text."""
         first = array("i", [-1]).tobytes()
         #: Int32 bytes: the piece that ends here; then, of each piece begun before, the piece that it follows and its node.
-        self.states, self.ending, self.lengths = [first], [-1], [0]
+        self.states, self.ending, self.lengths, self.weights = [first], [-1], [0], [0]
         self.numbered: dict[bytes, int] = {first: 0}
         self.steps: dict[int, int] = {}
         #: Steps over usual characters; nothing leads to state 0. Only what is used takes memory.
@@ -137,43 +146,6 @@ class Vocabulary:
         known = self.four
         return b"".join([known[p] if p < self.other else b"".join([known[i] for i in self.ids_of(p)]) for p in numbers])
 
-    def longest_paths(self, text: str, entry: State, stop: int, last_start: int) -> dict[int, tuple[int, int, float]]:
-        """From the piece ``entry``: for each end up to ``stop``, the start and number of the one piece that can end there, and how
-        many ids lead there. Pieces start before ``last_start``."""
-        first = entry[1]
-        found = {first: (entry[0], self.number(text[entry[0] : first]) if entry[0] >= 0 else -1, 0.0)}
-        trie, piece_at, fits, other = self.trie, self.piece_at, self.fits, self.other
-        for start in range(first, min(last_start, stop)):
-            own = found.get(start)
-            if own is None:
-                continue
-            before, node = own[1], 0
-            for end in range(start, stop):
-                code = ord(text[end])
-                node = trie.get(node << 21 | code, -1) if node >= 0 else -1
-                piece = piece_at[node] if node >= 0 else -1
-                if end == start and piece < 0:
-                    piece = other + code
-                if piece >= 0 and end + 1 not in found:
-                    ok = before < 0 or fits.get(before << 21 | piece)
-                    if ok is None:
-                        ok = self.fit(before, piece)
-                    if ok:
-                        found[end + 1] = (start, piece, own[2] + (1 if piece < other else len(self.ids_of(piece))))
-                if node < 0:
-                    break
-        return found
-
-    def trace(self, text: str, entry: State, leave: State) -> list[int]:
-        """Numbers of the pieces after ``entry`` up to and with ``leave``."""
-        if leave == entry:
-            return []
-        found, path, end = self.longest_paths(text, entry, leave[1], leave[0] + 1), [], leave[1]
-        while end > entry[1]:
-            end, piece, _ = found[end]
-            path.append(piece)
-        return path[::-1]
-
     def word(self, text: str) -> bytes:
         """Ids of a text between cuts."""
         return self.packed(self._word_path(text))
@@ -182,8 +154,9 @@ class Vocabulary:
         """The state after one more character. A state is the piece that ends here, and the pieces begun before that may go on,
         each with the piece that it follows: all that the rest of the path depends on."""
         last, *rest = memoryview(self.states[state]).cast("i")
-        found, on = -1, array("i", [0])
-        rest += (last, 0)
+        found, on = NOWHERE, array("i", [0])
+        if last != NOWHERE:
+            rest += (last, 0)
         for k in range(0, len(rest), 2):  # longest first
             before, node = rest[k], rest[k + 1]
             after = self.trie.get(node << 21 | code)
@@ -195,35 +168,55 @@ class Vocabulary:
             if after in self.inner:
                 on.extend((before, after))
         on[0] = found
-        key = on.tobytes()
+        return self._numbered(on)
+
+    def _numbered(self, state: array) -> int:
+        key = state.tobytes()
         new = self.numbered.get(key)
         if new is None:
+            piece = state[0]
             new = self.numbered[key] = len(self.states)
             self.states.append(key)
-            self.ending.append(found)
-            self.lengths.append(len(self.spelled(found)))
+            self.ending.append(piece)
+            self.lengths.append(0 if piece < 0 else len(self.spelled(piece)))
+            self.weights.append(0 if piece < 0 else 1 if piece < self.other else len(self.ids_of(piece)))
         return new
 
     def _fits(self, a: int, b: int) -> bool:
         ok = self.fits.get(a << 21 | b)
         return self.fit(a, b) if ok is None else ok
 
-    def _word_path(self, text: str) -> list[int]:
-        """``longest_paths`` and the way back for a text between cuts, where every place is some piece's end."""
-        steps, step, state, seen = self.steps, self._step, 0, []
-        for code in map(ord, text):
+    def _run(self, text: str, state: int, start: int, stop: int) -> list[int]:
+        """The states after each character of text[start:stop]."""
+        steps, step, seen = self.steps, self._step, []
+        for code in map(ord, text[start:stop]):
             after = steps.get(state << 21 | code)
             if after is None:
                 after = steps[state << 21 | code] = step(state, code)
             state = after
             seen.append(state)
-        path, end, ending, lengths = [], len(text), self.ending, self.lengths
-        while end:
-            state = seen[end - 1]
+        return seen
+
+    def _back(self, seen: list[int], n: int) -> list[int]:
+        """The pieces of the path whose first n states are ``seen``."""
+        path, ending, lengths = [], self.ending, self.lengths
+        while n:
+            state = seen[n - 1]
             path.append(ending[state])
-            end -= lengths[state]
+            n -= lengths[state]
         return path[::-1]
 
+    def _ids_before(self, seen: list[int]) -> list[int]:
+        """Ids of the path up to each place; only places that a path goes through are of use."""
+        out, lengths, weights = [0], self.lengths, self.weights
+        for state in seen:
+            out.append(out[-lengths[state]] + weights[state] if lengths[state] else 0)
+        return out
+
+    def _word_path(self, text: str) -> list[int]:
+        """Pieces of a text between cuts, where every place is some piece's end."""
+        return self._back(self._run(text, 0, 0, len(text)), len(text))
+
     def _lockstep(self, words: list[str]) -> list[bytes]:
         """``word`` for many short words of usual characters: all take their next step at once."""
         size = np.array([*map(len, words)])
@@ -284,92 +277,104 @@ class Vocabulary:
         known = self.words
         return [b"".join([known[w] for w in p]) for p in parts]
 
-    def plain(self, text: str) -> bytes:
-        return self.encode_texts([text])[0]
-
     def crossing(self, text: str, at: int) -> list[State]:
         """Pieces that may cover or end at boundary ``at``: those that start before it and do not end before it."""
         if at == 0:
             return [(-1, 0)]
         starts = range(max(0, at - self.longest), at)
-        stop = lambda s: min(len(text), s + self.longest)
-        return [(s, e) for s in starts for e in range(at, stop(s) + 1) if self.is_piece(text[s:e])]
-
-    def is_piece(self, text: str) -> bool:
-        return len(text) == 1 or text in self.id
+        return [(s, e) for s in starts for e in range(at, min(len(text), s + self.longest) + 1) if e == s + 1 or text[s:e] in self.id]
 
-    def cuts(self, text: str, lo: int, hi: int) -> list[int]:
-        """First and last place in [lo, hi) that every path has a piece's end at; empty if there is none."""
-        found = (w.start() for w in WORD.finditer(text, max(0, lo - 1)) if w.start() >= max(lo, 1))
-        first = next((k for k in found if k < hi and self._cut(text, k)), None)
+    def cuts(self, text: str, lo: int, hi: int) -> tuple[int, int] | None:
+        """First and last place of a chunk that every path has a piece's end at; None if it has none. The text's own ends are such."""
+        first, last = 0 if lo == 0 else None, hi if hi == len(text) else None
         if first is None:
-            return []
-        last = next(k for k in range(hi - 1, first - 1, -1) if self._cut(text, k))
-        return [first, last]
+            found = (w.start() for w in WORD.finditer(text, lo - 1) if w.start() >= lo)
+            first = next((k for k in found if k >= hi or self._cut(text, k)), hi)
+            first = first if first < hi else last
+        if last is None and first is not None:
+            last = next(k for k in range(hi - 1, first - 1, -1) if k == first or self._cut(text, k))
+        return None if first is None else (first, last)
 
     @staticmethod
     def _cut(text: str, k: int) -> bool:
         """A word never goes on from text[k - 1] to text[k]."""
         return WORD.fullmatch(text[k - 1 : k + 1]) is None
 
-    def transfer(self, text: str, lo: int, hi: int) -> dict[State, dict[State, float]]:
-        """Max-plus matrix of the chunk [lo, hi): most pieces from each entering to each leaving state; what is not there is minus
-        infinity. ``text`` reaches a piece's length beyond both ends."""
-        leaving = self.crossing(text, hi)
-        cuts = self.cuts(text, lo, hi)
-
-        def rows(entries: list[State], stop: int, ends: list[State]) -> dict[State, dict[State, float]]:
-            out = {}
-            for entry in entries:
-                last = max(e for _, e in ends)
-                found = self.longest_paths(text, entry, last, stop)
-                row = {}
-                for s, e in ends:
-                    if (s, e) == entry:
-                        row[s, e] = 0.0
-                    elif e in found and found[e][0] == s and e > entry[1]:
-                        row[s, e] = found[e][2]
-                if row:
-                    out[entry] = row
-            return out
+    def _entered(self, text: str, entry: State) -> int:
+        """The automaton's state behind an entering piece."""
+        return 0 if entry[0] < 0 else self._numbered(array("i", [self.number(text[entry[0] : entry[1]])]))
+
+    def _leaving(self, text: str, state: int, start: int, hi: int) -> dict[State, int]:
+        """Pieces that a path from ``start`` may leave a chunk by, with the ids up to and with each."""
+        seen = self._run(text, state, start, min(len(text), hi + self.longest - 1))
+        ids, out = self._ids_before(seen), {}
+        for e in range(hi, start + len(seen) + 1):
+            n = self.lengths[seen[e - 1 - start]]
+            if n and e - n < hi:
+                out[e - n, e] = ids[e - start]
+        return out
+
+    def transfers(self, chunks: list[tuple[str, int, int]]) -> list[tuple[tuple[int, int] | None, bytes, Matrix]]:
+        """Of each chunk [lo, hi) of a text that reaches a piece's length beyond both ends: its first and last cut, the ids between them, and its
+        matrix, with the ids after the entering piece up to and with the leaving one."""
+        cuts = [self.cuts(*c) for c in chunks]
+        inner = self.encode_texts(["" if k is None else text[k[0] : k[1]] for (text, _, _), k in zip(chunks, cuts, strict=True)])
+        return [(k, ids, self._matrix(*c, k, len(ids) // 4)) for c, k, ids in zip(chunks, cuts, inner, strict=True)]
 
+    def _matrix(self, text: str, lo: int, hi: int, cuts: tuple[int, int] | None, inner: int) -> Matrix:
         entering = self.crossing(text, lo)
-        if not cuts:
-            return rows(entering, hi, leaving)
-        # up to the first cut, over whole words to the last one, and on to the end: three matrices, combined
+        if cuts is None:
+            rows = {entry: self._leaving(text, self._entered(text, entry), entry[1], hi) for entry in entering}
+            return {entry: row for entry, row in rows.items() if row}
         first, last = cuts
-        if first == lo:
-            head = {s: {s: 0.0} for s in entering if s[1] == first}  # the entering piece ends here
-        else:
-            head = rows(entering, first, [s for s in self.crossing(text, first) if s[1] == first])
-        inner = len(self.plain(text[first:last])) / 4
         # after a cut the way does not depend on the piece before it: words are apart
-        mid = (-1, last)
-        tail = rows([mid], hi, leaving).get(mid, {})
-        return {entry: {end: n + inner + more for end, more in tail.items()} for entry, row in head.items() for n in [max(row.values(), default=MINUS_INFINITY)] if row}
-
-    def chunk_ids(self, text: str, entry: State, leave: State) -> bytes:
-        """Ids of the pieces after ``entry`` up to and with ``leave``; whole words between cuts come from memory."""
-        cuts = self.cuts(text, entry[1], leave[1]) if leave != entry else []
-        if not cuts:
-            return self.packed(self.trace(text, entry, leave))
-        first, last = cuts
-        head = []
-        if first > entry[1]:
-            head = self.trace(text, entry, (self.longest_paths(text, entry, first, first)[first][0], first))
-        return self.packed(head) + self.plain(text[first:last]) + self.packed(self.trace(text, (-1, last), leave))
+        tail = {(hi, hi): 0} if last == hi else self._leaving(text, 0, last, hi)
+        out = {}
+        for entry in entering:
+            if entry[1] <= first:  # no piece goes over a cut
+                seen = self._run(text, self._entered(text, entry), entry[1], first)
+                if not seen or self.lengths[seen[-1]]:
+                    head = self._ids_before(seen)[-1] + inner
+                    out[entry] = {leave: head + n for leave, n in tail.items()}
+        return out
+
+    def trace(self, head: str, tail: str, cuts: tuple[int, int] | None, inner: bytes, entry: State, leave: State) -> bytes:
+        """Ids of a chunk after ``entry`` up to and with ``leave``. ``head``: its text up to the first cut, ``tail``: its text from the last one
+        on; without cuts, ``head`` is all of it."""
+        if cuts is None:
+            return self.packed(self._back(self._run(head, self._entered(head, entry), entry[1], leave[1]), leave[1] - entry[1]))
+        before = self._run(head, self._entered(head, entry), entry[1], cuts[0])
+        after = self._run(tail, 0, 0, leave[1] - cuts[1])
+        return self.packed(self._back(before, len(before))) + inner + self.packed(self._back(after, len(after)))
 
 
-def product(a: dict, b: dict) -> dict:
+def through(vector: dict[State, int], matrix: Matrix) -> dict[State, int]:
+    """Max-plus product of a row vector and a matrix."""
+    out: dict[State, int] = {}
+    for k, n in vector.items():
+        for j, m in matrix.get(k, {}).items():
+            if j not in out or n + m > out[j]:
+                out[j] = n + m
+    return out
+
+
+def product(a: Matrix, b: Matrix) -> Matrix:
     """Max-plus product of two sparse matrices; associative."""
-    out: dict = {}
-    for i, row in a.items():
-        to = out.setdefault(i, {})
-        for k, n in row.items():
-            for j, m in b.get(k, {}).items():
-                if n + m > to.get(j, MINUS_INFINITY):
-                    to[j] = n + m
-    return {i: row for i, row in out.items() if row}
+    rows = {i: through(row, b) for i, row in a.items()}
+    return {i: row for i, row in rows.items() if row}
+
+
+def way_through(matrices: list[Matrix], entry: State, leave: State, before: int = 0) -> list[tuple[State, State, int]]:
+    """Of each of some neighbouring chunks or blocks, between whose ends ``entry`` and ``leave`` the path lies: the piece that enters, the piece
+    that leaves, and the ids before."""
+    vectors, out = [{entry: before}], []
+    for m in matrices:
+        vectors.append(through(vectors[-1], m))
+    for m, v in zip(reversed(matrices), reversed(vectors[:-1]), strict=True):
+        enter = max((s for s in v if leave in m.get(s, ())), key=lambda s: v[s] + m[s][leave])
+        out.append((enter, leave, v[enter]))
+        leave = enter
+    return out[::-1]
 
 
 def marked(text: str) -> str:
@@ -398,62 +403,102 @@ def _vocabulary(path: str) -> Vocabulary:
     return per_worker(f"sentencepiece {path}", lambda: Vocabulary(path))
 
 
-def _short(path: str):
+def _cells(matrix: Matrix, shift: int = 0) -> bytes:
+    """A matrix as int64 bytes; positions are moved by ``shift``."""
+    at = lambda s: (s[0] + shift if s[0] >= 0 else -1, s[1] + shift)
+    return np.array([(*at(i), *at(j), n) for i, row in matrix.items() for j, n in row.items()], "<i8").tobytes()
+
+
+def _matrix_of(cells: bytes) -> Matrix:
+    out: Matrix = {}
+    for a, b, c, d, n in np.frombuffer(cells, "<i8").reshape(-1, 5).tolist():
+        out.setdefault((a, b), {})[c, d] = n
+    return out
+
+
+def _whole(path: str):
+    """Texts of one chunk: its matrix is the whole product."""
+
     def scan(batches):
         v = _vocabulary(path)
         for b in batches:
             for at in range(0, b.num_rows, AT_ONCE):
                 some = b.slice(at, AT_ONCE)
-                ids = v.encode_texts([marked(t or "") for t in some.column(1).to_pylist()])
+                texts = [marked(t or "") for t in some.column(1).to_pylist()]
+                ids = []
+                for text, (cuts, inner, matrix) in zip(texts, v.transfers([(t, 0, len(t)) for t in texts]), strict=True):
+                    [(entry, leave, _)] = way_through([matrix], (-1, 0), (len(text), len(text)))
+                    ids.append(v.trace(text[: cuts[0]], text[cuts[1] :], cuts, inner, entry, leave))
                 yield pa.RecordBatch.from_arrays([some.column(0), lists(ids)], ["row", "ids"])
 
     return scan
 
 
+def _cut(chunk: int, reach: int):
+    """Texts into chunks that reach beyond both ends by ``reach`` characters, in one pass."""
+
+    def scan(batches):
+        for b in batches:
+            for k, text in enumerate(b.column(1).to_pylist()):
+                text = marked(text)
+                n = -(-len(text) // chunk)
+                for at in range(0, n, AT_ONCE):
+                    some = range(at, min(n, at + AT_ONCE))
+                    shift = [max(0, c * chunk - reach) for c in some]
+                    parts = [text[s : (c + 1) * chunk + reach] for c, s in zip(some, shift, strict=True)]
+                    hi = [min(len(text), (c + 1) * chunk) - s for c, s in zip(some, shift, strict=True)]
+                    lo = [c * chunk - s for c, s in zip(some, shift, strict=True)]
+                    row = b.column(0).take(pa.array(np.full(len(some), k)))
+                    yield pa.RecordBatch.from_arrays([row, pa.array(list(some), pa.int32()), pa.array(parts), pa.array(shift, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["row", "k", "text", "shift", "lo", "hi"])
+
+    return scan
+
+
 def _matrices(path: str):
+    """Chunks: matrices, and what a trace needs."""
+
     def scan(batches):
         v = _vocabulary(path)
-        for b in batches:
-            out = []
-            for text, lo, hi, shift in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
-                m = v.transfer(text, lo, hi)
-                cells = [(s[0] + shift if s[0] >= 0 else -1, s[1] + shift, e[0] + shift if e[0] >= 0 else -1, e[1] + shift, n) for s, row in m.items() for e, n in row.items()]
-                out.append(np.array(cells, "<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["row", "chunk", "cells"])
+        for b in (x.slice(at, AT_ONCE) for x in batches for at in range(0, x.num_rows, AT_ONCE)):
+            texts, shift, lo, hi = (b.column(c).to_pylist() for c in (2, 3, 4, 5))
+            found = v.transfers(list(zip(texts, lo, hi, strict=True)))
+            cells = [_cells(matrix, s) for (_, _, matrix), s in zip(found, shift, strict=True)]
+            ends = [(t, "", None, None) if cuts is None else (t[: cuts[0]], t[cuts[1] :], *cuts) for t, (cuts, _, _) in zip(texts, found, strict=True)]
+            head, tail, first, last = zip(*ends, strict=True) if ends else ([], [], [], [])
+            columns = (pa.array(cells, pa.binary()), pa.array(head, pa.string()), pa.array(tail, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array([ids for _, ids, _ in found], pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(6), *columns], ["row", "k", "shift", "times", "cells", "head", "tail", "first", "last", "inner"])
 
     return scan
 
 
-def way_through(cells: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-    """Of one text: the entering and the leaving piece of each chunk, and the ids before it, from prefix products of the chunks'
-    matrices."""
-    matrices = []
-    for packed in cells:
-        m: dict = {}
-        for a, b, c, d, n in np.frombuffer(packed, "<f8").reshape(-1, 5).tolist():
-            m.setdefault((int(a), int(b)), {})[int(c), int(d)] = n
-        matrices.append(m)
-    prefix, prefixes = {(-1, 0): {(-1, 0): 0.0}}, []
-    for m in matrices:
-        prefix = product(prefix, m)
-        prefixes.append(prefix[-1, 0])
-    end = max(e for _, e in prefixes[-1])
-    leave = [max((s for s in prefixes[-1] if s[1] == end), key=lambda s: prefixes[-1][s])]
-    for k in range(len(matrices) - 1, 0, -1):  # the one entering state that reaches the leaving one
-        reach = [s for s, row in matrices[k].items() if leave[-1] in row and s in prefixes[k - 1]]
-        leave.append(max(reach, key=lambda s: prefixes[k - 1][s] + matrices[k][s][leave[-1]]))
-    leave.reverse()
-    before = [0, *(int(p[s]) for p, s in zip(prefixes, leave, strict=True))]
-    return [(*a, *b, n) for a, b, n in zip([(-1, 0), *leave[:-1]], leave, before, strict=False)]
-
-
-def _ways(batches):
+def _multiplied(batches):
+    """Of each block: the product of its members' matrices."""
     for b in batches:
-        ways = [way_through(cells) for cells in b.column(1).to_pylist()]
-        flat = np.array([x for w in ways for x in w], np.int64).reshape(-1, 5)
-        row = np.repeat(np.arange(len(ways)), [len(w) for w in ways])
-        chunk = np.concatenate([np.arange(len(w)) for w in ways]) if ways else row
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(chunk.astype(np.int32)), *(pa.array(flat[:, k]) for k in range(5))], ["row", "chunk", "a", "b", "c", "d", "before"])
+        out = [_cells(functools.reduce(product, map(_matrix_of, cells))) for cells in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["row", "k", "cells"])
+
+
+def _ends(batches):
+    """Of each text's one matrix: the way through all of it."""
+    for b in batches:
+        ends = [max((leave for leave in _matrix_of(c)[-1, 0]), key=lambda s: s[1]) for c in b.column(2).to_pylist()]
+        columns = [pa.array(c, pa.int64()) for c in ([-1] * len(ends), [0] * len(ends), [c for c, _ in ends], [d for _, d in ends], [0] * len(ends))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["row", "k", "a", "b", "c", "d", "before"])
+
+
+def _ways(fan: int):
+    """Of each block with its own way: the way through each member."""
+
+    def scan(batches):
+        for b in batches:
+            block, cells, *own = (b.column(c).to_pylist() for c in range(1, 8))
+            found = [way_through([*map(_matrix_of, m)], (s, e), (t, f), n) for m, s, e, t, f, n in zip(cells, *own, strict=True)]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(w) for w in found]))
+            k = pa.array([fan * at + i for at, w in zip(block, found, strict=True) for i in range(len(w))], pa.int32())
+            flat = np.array([(*i, *j, n) for w in found for i, j, n in w], np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), k, *(pa.array(flat[:, c]) for c in range(5))], ["row", "k", "a", "b", "c", "d", "before"])
+
+    return scan
 
 
 def _traced(path: str):
@@ -461,9 +506,10 @@ def _traced(path: str):
         v = _vocabulary(path)
         for b in batches:
             ids = []
-            for text, shift, a, b_, c, d in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5, 6, 7)), strict=True):
-                ids.append(v.chunk_ids(text, (a - shift if a >= 0 else -1, b_ - shift), (c - shift if c >= 0 else -1, d - shift)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(ids)], ["row", "chunk", "ids"])
+            for head, tail, first, last, inner, shift, s, e, t, f in zip(*(b.column(c).to_pylist() for c in range(2, 12)), strict=True):
+                entry, leave = (s - shift if s >= 0 else -1, e - shift), (t - shift, f - shift)
+                ids.append(v.trace(head, tail, None if first is None else (first, last), inner, entry, leave))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(ids)], ["row", "k", "ids"])
 
     return scan
 
@@ -483,40 +529,64 @@ def _decoded(path: str):
     return scan
 
 
-def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, giant: int = GIANT) -> DataFrame:
+def longest_piece(path: str) -> int:
+    """Characters of the longest piece."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    return max(len(sp.id_to_piece(i)) for i in range(sp.get_piece_size()))
+
+
+_ROW = "row struct<id:bigint,h1:bigint,h2:bigint>"
+
+
+def ways(level: DataFrame, n: int, fan: int) -> DataFrame:
+    """``row, k, a, b, c, d, before`` of each chunk of ``level`` (row, k, cells), at most ``n`` of a text: products of blocks of ``fan`` up to one
+    matrix of each text, and the way back down. No task holds more than a block's matrices, of some dozen cells each."""
+    block = F.expr(f"cast(k div {fan} as int)").alias("k")
+    sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("k", "cells"))), lambda c: c["cells"]).alias("cells")
+    levels = [level]
+    while n > 1:
+        levels.append(materialise(levels[-1].groupBy("row", block).agg(sorted_).mapInArrow(_multiplied, f"{_ROW}, k int, cells binary"), "products"))
+        n = -(-n // fan)
+    kind = f"{_ROW}, k int, a long, b long, c long, d long, before long"
+    way = levels.pop().mapInArrow(_ends, kind)
+    for members in reversed(levels):
+        way = members.groupBy("row", block).agg(sorted_).join(way, ["row", "k"]).mapInArrow(_ways(fan), kind)
+    return way
+
+
+def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """``id, ids, n_chunks``: the ids of each text as the model's own encoder gives them.
 
-    Null and empty texts have no ids. Texts over ``giant`` characters are cut into chunks, which different tasks encode. A null id stays, repeated
-    rows repeat, an empty table gives an empty result, other columns are not read. ``chunk`` is at least two pieces long."""
+    Null and empty texts have no ids. Texts over ``chunk`` characters are several chunks, which different tasks take. A null id stays,
+    repeated rows repeat, an empty table gives an empty result, other columns are not read. A chunk shorter than two of the model's pieces raises
+    ValueError."""
     spark = df.sparkSession
     small_batches(spark)
-    reach = 64  # characters around a chunk that its pieces may take: over any piece's length
+    reach = longest_piece(model_path)
+    if chunk < 2 * reach or fan < 2:
+        raise ValueError(f"a chunk of {chunk} characters is shorter than two pieces of {reach}, or a block of {fan} holds no two chunks")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    size = F.coalesce(F.length("text"), F.lit(0))
-    short = rows.filter(size <= giant).select(F.struct("id").alias("row"), "text").mapInArrow(_short(model_path), "row struct<id:bigint>, ids array<int>")
-    short = short.select("row.id", "ids", F.lit(1).alias("n_chunks"))
-    # a giant row is known by id and content; equal ones are encoded once and each gets the result
-    key = F.struct("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    giants = rows.filter(size > giant).select(key.alias("row"), F.concat(F.lit(MARK), F.translate("text", " ", MARK)).alias("text"))
-    counts = giants.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
-    unique = giants.groupBy("row").agg(F.first("text").alias("text"))
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))).alias("chunk")
-    n = F.length("text")
-    chunks = unique.select("row", n.alias("n"), at, "text").select(
-        "row", "chunk", F.substring("text", F.greatest(F.lit(1), F.col("chunk") * chunk - reach + 1), F.lit(chunk + 2 * reach) - F.greatest(F.lit(0), reach - F.col("chunk") * chunk)).alias("text"),
-        F.greatest(F.lit(0), F.col("chunk") * chunk - reach).alias("shift"), (F.col("chunk") * chunk).alias("from"), F.least("n", (F.col("chunk") + 1) * chunk).alias("to"), "n",
-    )
-    chunks = materialise(chunks, "chunks")
-    local = chunks.select("row", "chunk", "text", (F.col("from") - F.col("shift")).alias("lo"), (F.col("to") - F.col("shift")).alias("hi"), "shift")
-    row_kind = "row struct<id:bigint,h1:bigint,h2:bigint>"
-    cells = local.repartition("row", "chunk").mapInArrow(_matrices(model_path), f"{row_kind}, chunk int, cells binary")
-    # a matrix is a few dozen cells whatever the chunk's length
-    of_text = cells.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "cells"))), lambda c: c["cells"]).alias("cells"))
-    way = of_text.mapInArrow(_ways, f"{row_kind}, chunk int, a long, b long, c long, d long, before long")
-    traced = chunks.join(way, ["row", "chunk"]).select("row", "chunk", "text", "shift", "a", "b", "c", "d").mapInArrow(_traced(model_path), f"{row_kind}, chunk int, ids array<int>")
-    whole = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    long_ = whole.join(counts, "row").select("row.id", F.flatten("parts.ids").alias("ids"), F.size("parts").alias("n_chunks"), F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy"))
-    return short.unionByName(long_.drop("copy"))
+    several = F.coalesce(F.length("text"), F.lit(0)) + 1 > chunk  # with the leading mark
+    one = rows.filter(~several).select(F.struct("id").alias("row"), "text").mapInArrow(_whole(model_path), "row struct<id:bigint>, ids array<int>")
+    one = one.select("row.id", "ids", F.lit(1).alias("n_chunks"))
+    # a row is known by id and content; equal ones are encoded once and each gets the result
+    key = F.struct("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).alias("row")
+    cut = rows.filter(several).select(key, "text").mapInArrow(_cut(chunk, reach), f"{_ROW}, k int, text string, shift long, lo int, hi int")
+    dealt = cut.groupBy("row", "k").agg(F.first(F.struct("text", "shift", "lo", "hi")).alias("c"), F.count(F.lit(1)).cast("int").alias("times")).select("row", "k", "c.*", "times")
+    kind = f"{_ROW}, k int, shift long, times int, cells binary, head string, tail string, first int, last int, inner binary"
+    chunks = materialise(dealt.mapInArrow(_matrices(model_path), kind), "chunks")
+    most = chunks.agg(F.max("k")).first()[0]
+    if most is None:
+        return one
+    way = ways(chunks.select("row", "k", "cells"), most + 1, fan)
+    both = chunks.join(way, ["row", "k"]).select("row", "k", "head", "tail", "first", "last", "inner", "shift", "a", "b", "c", "d")
+    traced = both.mapInArrow(_traced(model_path), f"{_ROW}, k int, ids array<int>")
+    whole = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+    times = chunks.filter("k = 0").select("row", "times")
+    many = whole.join(times, "row").select("row.id", F.flatten("parts.ids").alias("ids"), F.size("parts").alias("n_chunks"), F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy"))
+    return one.unionByName(many.drop("copy"))
 
 
 def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
