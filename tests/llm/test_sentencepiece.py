@@ -35,7 +35,8 @@ def by_chunks(text, size, fan):
         assert before == len(ids)
         own = lambda s: (s[0] - shift if s[0] >= 0 else -1, s[1] - shift)  # noqa: E731, B023
         head, tail = (part, "") if cuts is None else (part[: cuts[0]], part[cuts[1] :])
-        ids += np.frombuffer(V.trace(head, tail, cuts, inner, own(i), own(j)), "<i4").tolist()
+        before, after = V.trace(head, tail, cuts, own(i), own(j))
+        ids += np.frombuffer(before + inner + after, "<i4").tolist()
     return ids
 
 

@@ -338,14 +338,14 @@ class Vocabulary:
                     out[entry] = {leave: head + n for leave, n in tail.items()}
         return out
 
-    def trace(self, head: str, tail: str, cuts: tuple[int, int] | None, inner: bytes, entry: State, leave: State) -> bytes:
-        """Ids of a chunk after ``entry`` up to and with ``leave``. ``head``: its text up to the first cut, ``tail``: its text from the last one
-        on; without cuts, ``head`` is all of it."""
+    def trace(self, head: str, tail: str, cuts: tuple[int, int] | None, entry: State, leave: State) -> tuple[bytes, bytes]:
+        """Ids of a chunk after ``entry`` up to the first cut, and from the last cut up to and with ``leave``. ``head``: its text up to the first
+        cut, ``tail``: its text from the last one on; without cuts, ``head`` is all of it and the first ids go to ``leave``."""
         if cuts is None:
-            return self.packed(self._back(self._run(head, self._entered(head, entry), entry[1], leave[1]), leave[1] - entry[1]))
+            return self.packed(self._back(self._run(head, self._entered(head, entry), entry[1], leave[1]), leave[1] - entry[1])), b""
         before = self._run(head, self._entered(head, entry), entry[1], cuts[0])
         after = self._run(tail, 0, 0, leave[1] - cuts[1])
-        return self.packed(self._back(before, len(before))) + inner + self.packed(self._back(after, len(after)))
+        return self.packed(self._back(before, len(before))), self.packed(self._back(after, len(after)))
 
 
 def through(vector: dict[State, int], matrix: Matrix) -> dict[State, int]:
@@ -428,7 +428,8 @@ def _whole(path: str):
                 ids = []
                 for text, (cuts, inner, matrix) in zip(texts, v.transfers([(t, 0, len(t)) for t in texts]), strict=True):
                     [(entry, leave, _)] = way_through([matrix], (-1, 0), (len(text), len(text)))
-                    ids.append(v.trace(text[: cuts[0]], text[cuts[1] :], cuts, inner, entry, leave))
+                    before, after = v.trace(text[: cuts[0]], text[cuts[1] :], cuts, entry, leave)
+                    ids.append(before + inner + after)
                 yield pa.RecordBatch.from_arrays([some.column(0), lists(ids)], ["row", "ids"])
 
     return scan
@@ -465,7 +466,7 @@ def _matrices(path: str):
             cells = [_cells(matrix, s) for (_, _, matrix), s in zip(found, shift, strict=True)]
             ends = [(t, "", None, None) if cuts is None else (t[: cuts[0]], t[cuts[1] :], *cuts) for t, (cuts, _, _) in zip(texts, found, strict=True)]
             head, tail, first, last = zip(*ends, strict=True) if ends else ([], [], [], [])
-            columns = (pa.array(cells, pa.binary()), pa.array(head, pa.string()), pa.array(tail, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array([ids for _, ids, _ in found], pa.binary()))
+            columns = (pa.array(cells, pa.binary()), pa.array(head, pa.string()), pa.array(tail, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), lists([ids for _, ids, _ in found]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(6), *columns], ["row", "k", "shift", "times", "cells", "head", "tail", "first", "last", "inner"])
 
     return scan
@@ -502,14 +503,18 @@ def _ways(fan: int):
 
 
 def _traced(path: str):
+    """Of each chunk the ids before its first cut, as part 0, and after its last one, as part 2."""
+
     def scan(batches):
         v = _vocabulary(path)
         for b in batches:
             ids = []
-            for head, tail, first, last, inner, shift, s, e, t, f in zip(*(b.column(c).to_pylist() for c in range(2, 12)), strict=True):
+            for head, tail, first, last, shift, s, e, t, f in zip(*(b.column(c).to_pylist() for c in range(2, 11)), strict=True):
                 entry, leave = (s - shift if s >= 0 else -1, e - shift), (t - shift, f - shift)
-                ids.append(v.trace(head, tail, None if first is None else (first, last), inner, entry, leave))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(ids)], ["row", "k", "ids"])
+                ids += v.trace(head, tail, None if first is None else (first, last), entry, leave)
+            row = pa.array(np.repeat(np.arange(b.num_rows), 2))
+            part = pa.array(np.tile([0, 2], b.num_rows), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), part, lists(ids)], ["row", "k", "part", "ids"])
 
     return scan
 
@@ -575,17 +580,19 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     key = F.struct("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).alias("row")
     cut = rows.filter(several).select(key, "text").mapInArrow(_cut(chunk, reach), f"{_ROW}, k int, text string, shift long, lo int, hi int")
     dealt = cut.groupBy("row", "k").agg(F.first(F.struct("text", "shift", "lo", "hi")).alias("c"), F.count(F.lit(1)).cast("int").alias("times")).select("row", "k", "c.*", "times")
-    kind = f"{_ROW}, k int, shift long, times int, cells binary, head string, tail string, first int, last int, inner binary"
+    kind = f"{_ROW}, k int, shift long, times int, cells binary, head string, tail string, first int, last int, inner array<int>"
     chunks = materialise(dealt.mapInArrow(_matrices(model_path), kind), "chunks")
     most = chunks.agg(F.max("k")).first()[0]
     if most is None:
         return one
     way = ways(chunks.select("row", "k", "cells"), most + 1, fan)
-    both = chunks.join(way, ["row", "k"]).select("row", "k", "head", "tail", "first", "last", "inner", "shift", "a", "b", "c", "d")
-    traced = both.mapInArrow(_traced(model_path), f"{_ROW}, k int, ids array<int>")
-    whole = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+    # only the ends of chunks, which are short, meet the way; the ids between the cuts move once, to their text
+    ends = chunks.select("row", "k", "head", "tail", "first", "last", "shift").join(way, ["row", "k"]).drop("before")
+    traced = ends.mapInArrow(_traced(model_path), f"{_ROW}, k int, part int, ids array<int>")
+    parts = traced.unionByName(chunks.select("row", "k", F.lit(1).alias("part"), F.col("inner").alias("ids")))
+    whole = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "part", "ids"))).alias("parts"))
     times = chunks.filter("k = 0").select("row", "times")
-    many = whole.join(times, "row").select("row.id", F.flatten("parts.ids").alias("ids"), F.size("parts").alias("n_chunks"), F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy"))
+    many = whole.join(times, "row").select("row.id", F.flatten("parts.ids").alias("ids"), (F.size("parts") / 3).cast("int").alias("n_chunks"), F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy"))
     return one.unionByName(many.drop("copy"))
 
 
