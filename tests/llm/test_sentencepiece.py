@@ -71,6 +71,7 @@ def test_product_is_associative():
 def check_rows(df, texts, **options):
     encoded = m.encode(df, PATH, **options)
     got = m.decode_ids(encoded, PATH).collect()
+    assert m.encode(df, PATH, decoded=True, **options).exceptAll(m.decode_ids(encoded, PATH)).count() == 0
     for r in got:
         t = "no id" if r["id"] is None else texts[r["id"]] or ""
         assert r["ids"] == LIBRARY.encode(t) and r["decoded"] == t

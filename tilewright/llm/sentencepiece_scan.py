@@ -416,8 +416,30 @@ def _matrix_of(cells: bytes) -> Matrix:
     return out
 
 
-def _whole(path: str):
-    """Texts of one chunk: its matrix is the whole product."""
+def _decoding(pieces: list[bytes], column: pa.ListArray) -> list[pa.Array]:
+    """Of a list column of ids: the texts, and the checksums over ids as little-endian uint32."""
+    cuts = column.offsets.to_numpy()
+    flat, cuts = column.values.to_numpy()[cuts[0] : cuts[-1]], cuts - cuts[0]
+    raw = [pieces[i] for i in flat.tolist()]
+    text = [spelled(b"".join(raw[lo:hi])) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    crc = [zlib.crc32(flat[lo:hi].astype("<u4").tobytes()) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    return [pa.array(text, pa.string()), pa.array(crc, pa.int64())]
+
+
+def _pieces(path: str) -> list[bytes]:
+    return per_worker(f"spellings {path}", lambda: spellings(path))
+
+
+def _decoded(path: str):
+    def scan(batches):
+        for b in (x.slice(at, AT_ONCE) for x in batches for at in range(0, x.num_rows, AT_ONCE)):
+            yield pa.RecordBatch.from_arrays([b.column(0), *_decoding(_pieces(path), b.column(1))], ["row", "decoded", "ids_crc32"])
+
+    return scan
+
+
+def _whole(path: str, decoded: bool):
+    """Texts of one chunk: its matrix is the whole product. The same worker decodes, where that is asked for."""
 
     def scan(batches):
         v = _vocabulary(path)
@@ -430,7 +452,9 @@ def _whole(path: str):
                     [(entry, leave, _)] = way_through([matrix], (-1, 0), (len(text), len(text)))
                     before, after = v.trace(text[: cuts[0]], text[cuts[1] :], cuts, entry, leave)
                     ids.append(before + inner + after)
-                yield pa.RecordBatch.from_arrays([some.column(0), lists(ids)], ["row", "ids"])
+                columns = [some.column(0), lists(ids)]
+                columns += _decoding(_pieces(path), columns[1]) if decoded else []
+                yield pa.RecordBatch.from_arrays(columns, ["row", "ids", "decoded", "ids_crc32"][: len(columns)])
 
     return scan
 
@@ -519,21 +543,6 @@ def _traced(path: str):
     return scan
 
 
-def _decoded(path: str):
-    def scan(batches):
-        pieces = per_worker(f"spellings {path}", lambda: spellings(path))
-        for b in (x.slice(at, AT_ONCE) for x in batches for at in range(0, x.num_rows, AT_ONCE)):
-            column = b.column(1)
-            cuts = column.offsets.to_numpy()
-            flat, cuts = column.values.to_numpy()[cuts[0] : cuts[-1]], cuts - cuts[0]
-            raw = [pieces[i] for i in flat.tolist()]
-            text = [spelled(b"".join(raw[lo:hi])) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-            crc = [zlib.crc32(flat[lo:hi].astype("<u4").tobytes()) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(crc, pa.int64())], ["row", "decoded", "ids_crc32"])
-
-    return scan
-
-
 def longest_piece(path: str) -> int:
     """Characters of the longest piece."""
     import sentencepiece
@@ -561,8 +570,9 @@ def ways(level: DataFrame, n: int, fan: int) -> DataFrame:
     return way
 
 
-def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """``id, ids, n_chunks``: the ids of each text as the model's own encoder gives them.
+def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, fan: int = FAN, decoded: bool = False) -> DataFrame:
+    """``id, ids, n_chunks``: the ids of each text as the model's own encoder gives them; with ``decoded`` the columns of ``decode_ids`` too, for which
+    texts of one chunk need no second pass through Python.
 
     Null and empty texts have no ids. Texts over ``chunk`` characters are several chunks, which different tasks take. A null id stays,
     repeated rows repeat, an empty table gives an empty result, other columns are not read. A chunk shorter than two of the model's pieces raises
@@ -574,8 +584,9 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
         raise ValueError(f"a chunk of {chunk} characters is shorter than two pieces of {reach}, or a block of {fan} holds no two chunks")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     several = F.coalesce(F.length("text"), F.lit(0)) + 1 > chunk  # with the leading mark
-    one = rows.filter(~several).select(F.struct("id").alias("row"), "text").mapInArrow(_whole(model_path), "row struct<id:bigint>, ids array<int>")
-    one = one.select("row.id", "ids", F.lit(1).alias("n_chunks"))
+    more = ", decoded string, ids_crc32 long" if decoded else ""
+    one = rows.filter(~several).select(F.struct("id").alias("row"), "text").mapInArrow(_whole(model_path, decoded), f"row struct<id:bigint>, ids array<int>{more}")
+    one = one.select("row.id", "ids", F.lit(1).alias("n_chunks"), *(["decoded", "ids_crc32"] if decoded else []))
     # a row is known by id and content; equal ones are encoded once and each gets the result
     key = F.struct("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).alias("row")
     cut = rows.filter(several).select(key, "text").mapInArrow(_cut(chunk, reach), f"{_ROW}, k int, text string, shift long, lo int, hi int")
@@ -593,7 +604,8 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     whole = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "part", "ids"))).alias("parts"))
     times = chunks.filter("k = 0").select("row", "times")
     many = whole.join(times, "row").select("row.id", F.flatten("parts.ids").alias("ids"), (F.size("parts") / 3).cast("int").alias("n_chunks"), F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy"))
-    return one.unionByName(many.drop("copy"))
+    many = many.drop("copy")
+    return one.unionByName(decode_ids(many, model_path) if decoded else many)
 
 
 def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -611,5 +623,5 @@ def default_model_path() -> str:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_model_path()
-    d = decode_ids(encode(documents(spark, sf_dir), path), path)
+    d = encode(documents(spark, sf_dir), path, decoded=True)
     return d.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "n_chunks", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
