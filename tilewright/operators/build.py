@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions import shape
-from ..sources.scratch import written
+from ..sources.scratch import discard, written
 from .rank import ONE_TASK_ROWS, global_rank
 
 
@@ -24,12 +24,19 @@ class RectIndex:
     meta: DataFrame
     pages: list[int]  #: of each level, leaves first
     root_page: int
-    kept: list[DataFrame] = field(default_factory=list)  #: levels that executors may hold
+    kept: list[DataFrame] = field(default_factory=list)  #: levels written to the shared folder
 
     def release(self) -> None:
-        """Let executors drop the levels that they hold; later queries pack again."""
+        """Delete the levels that packing wrote. Nothing of this index can be read afterwards."""
         for level in self.kept:
-            level.unpersist()
+            discard(level)
+        self.kept.clear()
+
+    def __enter__(self) -> RectIndex:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
 
     @property
     def height(self) -> int:
@@ -64,7 +71,7 @@ def level_nodes(entries: DataFrame) -> DataFrame:
 def build_index(rects: DataFrame, fill: float | None = None, fill_leaf: float = 1.0, fill_internal: float = 1.0, leaf_cap: int | None = None, internal_cap: int | None = None, one_task_rows: int = ONE_TASK_ROWS) -> RectIndex:
     """Pack ``rects`` (id and box) into a tree. ``fill`` sets both factors; capacities override factors.
 
-    Leaves are pages 1.., then each level in turn; the root is last. Raises ValueError for an empty input or a factor outside
+    Leaves are pages 1.., then each level in turn; the root is last. Levels are written to the shared folder until ``release()``. Raises ValueError for an empty input or a factor outside
     (0, 1]; faulty rows raise when they are read."""
     spark = rects.sparkSession
     if fill is not None:
@@ -76,9 +83,9 @@ def build_index(rects: DataFrame, fill: float | None = None, fill_leaf: float =
     level, size, base, parts, nodes, kept = rects.select(*G.SIDES, F.col("id").alias("child")), n, 1, [], [], []
     for number, count in enumerate(pages):
         entries = str_level(level, size, leaf_cap if number == 0 else internal_cap, base, number, one_task_rows)
-        # read again for its nodes and for the entries: written if the level is large or the tree deep (plans of kept tables
-        # nest), else kept by the executors, at most one_task_rows
-        entries = written(entries, f"level{number}") if size > one_task_rows or len(pages) > 3 else entries.persist()
+        # read for its nodes, for the entries and by every query: written once, so it is packed once and outlives executors; the
+        # folder goes with release() or the driver, and no executor memory is taken
+        entries = written(entries, f"level{number}")
         kept.append(entries)
         own = level_nodes(entries)
         parts.append(entries.drop("slice"))

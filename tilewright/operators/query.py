@@ -6,6 +6,8 @@ statistics alike."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,16 @@ from .build import RectIndex
 
 #: Queries of a batch up to which they are sent to every task.
 BROADCAST_QUERIES = 10_000
+#: Bytes of internal entries up to which a level is sent to every task, and of one entry in memory.
+BROADCAST_BYTES, ENTRY_MEMORY = 64 << 20, 64
 #: Rows that the first page of a listing shows.
 SHOWN = 20
+#: Leaf entries: a stored index is partitioned by level, so that only their files are listed.
+LEAVES = "level = 0"
 
 
 def _found(index: RectIndex, meets: Column) -> DataFrame:
-    return index.entries.filter(F.col("is_leaf") & meets).select(F.col("child").alias("id"), *G.SIDES)
+    return index.entries.filter(F.expr(LEAVES) & meets).select(F.col("child").alias("id"), *G.SIDES)
 
 
 def _meets(box: G.Box) -> Column:
@@ -36,7 +42,7 @@ def range_query(index: RectIndex, box: G.Box) -> DataFrame:
 
 
 def range_count(index: RectIndex, box: G.Box) -> DataFrame:
-    return index.entries.filter(F.col("is_leaf") & _meets(box)).agg(F.count(F.lit(1)).alias("n"))
+    return index.entries.filter(F.expr(LEAVES) & _meets(box)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def point_query(index: RectIndex, x: float, y: float) -> DataFrame:
@@ -44,7 +50,7 @@ def point_query(index: RectIndex, x: float, y: float) -> DataFrame:
 
 
 def point_count(index: RectIndex, x: float, y: float) -> DataFrame:
-    return index.entries.filter(F.col("is_leaf") & _stabs(x, y)).agg(F.count(F.lit(1)).alias("n"))
+    return index.entries.filter(F.expr(LEAVES) & _stabs(x, y)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def contained_query(index: RectIndex, box: G.Box) -> DataFrame:
@@ -59,7 +65,7 @@ def first_hits(found: DataFrame, n: int = SHOWN) -> DataFrame:
 
 def _statistics(index: RectIndex, meets: Column) -> DataFrame:
     """One row: pages_read, entries_tested, entries_pruned, results. The root is read even if the query misses it."""
-    visited = index.entries.filter(~F.col("is_leaf") & meets).select(F.col("child").alias("page"))
+    visited = index.entries.filter(~F.expr(LEAVES) & meets).select(F.col("child").alias("page"))
     zero = F.lit(0).cast("long")
     hits = index.entries.filter(meets).select(F.when(F.col("is_leaf"), 0).otherwise(1).cast("long").alias("pages"), F.when(F.col("is_leaf"), 1).otherwise(0).cast("long").alias("results"), zero.alias("tested"))
     root = index.nodes.filter(F.col("page") == index.root_page)
@@ -101,46 +107,70 @@ def batch_range_join(index: RectIndex, queries: DataFrame, broadcast_queries: in
     """``qid, id`` for every box of ``queries`` (qid and box) and rectangle that meet.
 
     Few queries go to every task and each rectangle is tested once against them. More are sent down the tree a level at a
-    time: an equi-join on the page, then the exact test, so that no two large sides ever meet as a cross product."""
+    time, and meet the leaves by an equi-join on the page, then the exact test, so that no two large sides ever meet as a cross product."""
     q = _queries(queries)
     if q.limit(broadcast_queries + 1).count() <= broadcast_queries:
-        leaves = index.entries.filter("is_leaf")
+        leaves = index.entries.filter(LEAVES)
         return leaves.join(F.broadcast(q), G.intersects(G.sides(), _query_sides())).select("qid", F.col("child").alias("id"))
     return descend(index, q).select("qid", F.col("child").alias("id"))
 
 
-def descend(index: RectIndex, q: DataFrame) -> DataFrame:
-    """``qid, child`` of the leaf entries that meet each query, by one equi-join for each level."""
-    at = q.withColumn("page", F.lit(index.root_page).cast("long"))
+def _level_bytes(index: RectIndex, level: int) -> int:
+    """Memory of a level's entries; an entry of a level is a page of the one below, so sizes are known without a job."""
+    return index.pages[level - 1] * ENTRY_MEMORY
+
+
+def _steps(index: RectIndex, q: DataFrame, broadcast_bytes: int) -> Iterator[tuple[int, DataFrame]]:
+    """(level, ``qid, q_*, page``): from the root's level down, the children that meet each query.
+
+    Rectangles are dealt over pages, internal entries are few: levels within ``broadcast_bytes`` go to every task whole, beginning below the
+    root, and queries stay where they are. Only a level beyond that, and the leaves, are joined by page; by then queries lie on many pages,
+    so no key holds the whole batch."""
+    at, meets = None, G.intersects(G.sides(), _query_sides())
     for level in range(index.height - 1, -1, -1):
-        entries = index.entries.filter(F.col("level") == level).drop("level", "slot", "is_leaf")
-        at = at.join(entries, "page").filter(G.intersects(G.sides(), _query_sides())).drop("page", *G.SIDES).withColumnRenamed("child", "page")
+        entries = index.entries.filter(F.col("level") == level).select("page", "child", *G.SIDES)
+        if at is None:  # all queries begin at the root, whose entries all of them meet or not: one page, at most a page's entries
+            at = q.join(F.broadcast(entries), meets)
+        elif level and _level_bytes(index, level) <= broadcast_bytes:
+            at = at.join(F.broadcast(entries), "page").filter(meets)
+        else:
+            at = at.join(entries, "page").filter(meets)
+        at = at.drop("page", *G.SIDES).withColumnRenamed("child", "page")
+        yield level, at
+
+
+def descend(index: RectIndex, q: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``qid, child`` of the leaf entries that meet each query of ``q`` (qid and q_* sides), level by level."""
+    for _, at in _steps(index, q, broadcast_bytes):
+        pass
     return at.withColumnRenamed("page", "child")
 
 
-def batch_stats(index: RectIndex, queries: DataFrame) -> DataFrame:
+def batch_stats(index: RectIndex, queries: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Statistics of each query of a batch: ``qid, pages_read, entries_tested, entries_pruned, results``."""
     q = _queries(queries)
-    at = q.withColumn("page", F.lit(index.root_page).cast("long"))
-    read, results = [at.select("qid", "page")], None
-    for level in range(index.height - 1, -1, -1):
-        entries = index.entries.filter(F.col("level") == level).drop("level", "slot", "is_leaf")
-        at = at.join(entries, "page").filter(G.intersects(G.sides(), _query_sides())).drop("page", *G.SIDES).withColumnRenamed("child", "page")
+    zero, read, results = F.lit(0).cast("long"), [], None
+    for level, at in _steps(index, q, broadcast_bytes):
+        # node counts of the pages that the step arrived at; pages are counted before they are looked up, once each
         if level:
-            read.append(at.select("qid", "page"))
+            pages = at.groupBy("qid", "page").agg(F.count(F.lit(1)).alias("times"))
+            nodes = index.nodes.filter(F.col("level") == level - 1).select("page", "node_count")
+            nodes = F.broadcast(nodes) if index.pages[level - 1] * ENTRY_MEMORY <= broadcast_bytes else nodes
+            read.append(pages.join(nodes, "page").groupBy("qid").agg(F.sum("times").alias("pages_read"), F.sum(F.col("times") * F.col("node_count")).alias("entries_tested")))
         else:
             results = at.groupBy("qid").agg(F.count(F.lit(1)).alias("results"))
-    pages = read[0]
-    for r in read[1:]:
-        pages = pages.unionByName(r)
-    work = pages.join(index.nodes.select("page", "node_count"), "page").groupBy("qid").agg(F.count(F.lit(1)).alias("pages_read"), F.sum("node_count").alias("entries_tested"))
-    out = work.join(results, "qid", "left").withColumn("results", F.coalesce("results", F.lit(0).cast("long")))
+    root = F.broadcast(index.nodes.filter(F.col("page") == index.root_page).select(F.lit(1).cast("long").alias("pages_read"), F.col("node_count").alias("entries_tested")))
+    work = q.select("qid").join(root)  # one row
+    for r in read:
+        work = work.unionByName(r)
+    work = work.groupBy("qid").agg(F.sum("pages_read").alias("pages_read"), F.sum("entries_tested").alias("entries_tested"))
+    out = work.join(results, "qid", "left").withColumn("results", F.coalesce("results", zero))
     return out.select("qid", "pages_read", "entries_tested", (F.col("entries_tested") - F.col("pages_read") + 1 - F.col("results")).alias("entries_pruned"), "results")
 
 
 def self_found(index: RectIndex, rects: DataFrame, found: bool = True) -> DataFrame:
     """Ids of ``rects`` whose own box finds (or, with ``found`` False, misses) them in the index: a semi or anti join on the id and the test."""
     own = rects.select("id", *(F.col(s).alias(f"q_{s}") for s in G.SIDES))
-    leaves = index.entries.filter("is_leaf").select(F.col("child").alias("id"), *G.SIDES)
+    leaves = index.entries.filter(LEAVES).select(F.col("child").alias("id"), *G.SIDES)
     on = (own["id"] == leaves["id"]) & G.intersects(G.sides(), _query_sides())
     return own.join(leaves, on, "left_semi" if found else "left_anti").select("id")
