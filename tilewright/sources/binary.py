@@ -80,16 +80,14 @@ class PartWritten(WriterCommitMessage):
 
 
 class PartWriter(DataSourceArrowWriter):
-    """One file for each partition, named by its number; a failed job leaves none."""
+    """One file for each partition, named by its number. Files of an earlier save go when all parts of the new one are written; a failed job
+    leaves them and none of its own."""
 
     def __init__(self, options, overwrite):
         self.folder = options["path"].removeprefix("file://")
         if os.path.exists(self.folder) and os.listdir(self.folder) and not overwrite:
             raise FileExistsError(self.folder)
         os.makedirs(self.folder, exist_ok=True)
-        if overwrite:
-            for f in files_of(self.folder):
-                os.remove(f)
 
     def payload(self, batch: pa.RecordBatch) -> bytes:
         raise NotImplementedError
@@ -98,7 +96,7 @@ class PartWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        part = f"{self.folder}/.{context.partitionId():06d}-{context.attemptNumber()}.bin"
+        part = f"{self.folder}/.{context.partitionId():010d}-{context.taskAttemptId()}.bin"
         size = 0
         with open(part, "wb") as out:
             for batch in iterator:
@@ -109,10 +107,11 @@ class PartWriter(DataSourceArrowWriter):
         return PartWritten(None)
 
     def commit(self, messages):
+        for f in files_of(self.folder):
+            os.remove(f)
         for m in messages:
             if m is not None and m.file:
-                name = os.path.basename(m.file)
-                os.replace(m.file, f"{self.folder}/part-{name[1:7]}.bin")
+                os.replace(m.file, f"{self.folder}/part-{os.path.basename(m.file)[1:11]}.bin")
 
     def abort(self, messages):
         for m in messages:
@@ -158,10 +157,15 @@ class TreeReader(DataSourceReader):
             n = min(step, span.count - at)
             raw = np.fromfile(span.file, np.uint8, n * shape.PAGE_BYTES, offset=(span.start + at) * shape.PAGE_BYTES).reshape(n, shape.PAGE_BYTES)
             head = raw[:, : PAGE_HEAD.itemsize].copy().view(PAGE_HEAD)[:, 0]
+            wrong = np.flatnonzero(head["count"] > shape.MAX_ENTRIES)
+            if len(wrong):
+                raise ValueError(f"{span.file}: page {span.ordinal + at + wrong[0]} states {head['count'][wrong[0]]} entries of at most {shape.MAX_ENTRIES}")
             cells = raw[:, PAGE_HEAD.itemsize : PAGE_HEAD.itemsize + shape.MAX_ENTRIES * RECORD.itemsize].copy().view(RECORD)
             slots = np.arange(shape.MAX_ENTRIES)[None, :]
             page, slot = np.nonzero(slots < head["count"][:, None])
             e = cells[page, slot]
+            if (e["child"] >> np.uint64(63)).any():
+                raise ValueError(f"{span.file}: ids of 2^63 or more")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(span.ordinal + at + page), pa.array(slot.astype(np.int32)), pa.array(head["is_leaf"][page] != 0), *(pa.array(np.ascontiguousarray(e[s])) for s in G.SIDES), pa.array(e["child"].astype(np.int64))],
                 ["page", "slot", "is_leaf", *G.SIDES, "child"],
@@ -207,22 +211,32 @@ def read_header(path: str) -> dict:
     return head
 
 
-def pack_page(entries: np.ndarray, is_leaf: bool) -> bytes:
-    """Image of one page: its head, its entries, zeros."""
-    head = np.zeros(1, PAGE_HEAD)
-    head["count"], head["is_leaf"] = len(entries), is_leaf
-    return (head.tobytes() + entries.tobytes()).ljust(shape.PAGE_BYTES, b"\0")
+def pack_pages(entries: np.ndarray, counts: np.ndarray, is_leaf: np.ndarray) -> np.ndarray:
+    """(pages, PAGE_BYTES): images of pages whose entries lie one after another."""
+    out = np.zeros((len(counts), shape.PAGE_BYTES), np.uint8)
+    head = np.zeros(len(counts), PAGE_HEAD)
+    head["count"], head["is_leaf"] = counts, is_leaf
+    out[:, : PAGE_HEAD.itemsize] = head.view(np.uint8).reshape(len(counts), -1)
+    page = np.repeat(np.arange(len(counts)), counts)
+    slot = np.arange(len(entries)) - np.repeat(np.cumsum(counts) - counts, counts)
+    body = out[:, PAGE_HEAD.itemsize : PAGE_HEAD.itemsize + shape.MAX_ENTRIES * RECORD.itemsize].reshape(len(counts), shape.MAX_ENTRIES, RECORD.itemsize)
+    cells = body.copy()
+    cells[page, slot] = entries.view(np.uint8).reshape(len(entries), RECORD.itemsize)
+    out[:, PAGE_HEAD.itemsize : PAGE_HEAD.itemsize + shape.MAX_ENTRIES * RECORD.itemsize] = cells.reshape(len(counts), -1)
+    return out
 
 
 def _images(batches):
-    for b in batches:
-        out = []
-        for leaf, cells in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+    for whole in batches:
+        for b in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
+            column = b.column(2)
+            cells, counts = column.flatten(), np.diff(column.offsets.to_numpy())
             a = np.zeros(len(cells), RECORD)
             for s in (*G.SIDES, "child"):
-                a[s] = [c[s] for c in cells]
-            out.append(pack_page(a, leaf))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["page", "image"])
+                a[s] = cells.field(cells.type.get_field_index(s)).to_numpy(zero_copy_only=False)
+            images = pack_pages(a, counts, b.column(1).to_numpy(zero_copy_only=False))
+            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(shape.PAGE_BYTES), len(images), [None, pa.py_buffer(images.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0), flat.cast(pa.binary())], ["page", "image"])
 
 
 def write_rects(rects: DataFrame, path: str) -> None:
