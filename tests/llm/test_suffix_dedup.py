@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -35,12 +36,56 @@ def run(spark, rows):
     return m.suffix_dedup(df)
 
 
-def test_equals_a_dictionary_of_all_windows(spark, monkeypatch):
-    for seed, hot in ((1, m.HOT), (2, 3)):  # the second cuts k-mers of more than 3 contexts by window content
-        monkeypatch.setattr(m, "HOT", hot)
-        texts = made_texts(seed)
-        found = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in run(spark, [(i, t.decode(), "x", 1) for i, t in texts.items()]).collect()}
-        assert found == m.brute_force(texts)
+def results(spark, texts):
+    rows = run(spark, [(i, t.decode(), "x", 1) for i, t in texts.items()]).collect()
+    return {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in rows}
+
+
+@pytest.mark.parametrize(("seed", "changes"), [
+    (1, {}), (2, {"HOT": 3}), (2, {"HOT": 3, "KMER_BITS": 3 << 62}), (3, {"BLOCK": 7}),
+    (4, {"CONTEXT_BITS": 0}), (5, {"CONTEXT_BITS": 7, "KMER_BITS": 15 << 60}),  # hashes that collide all the time
+])
+def test_equals_a_dictionary_of_all_windows(spark, monkeypatch, seed, changes):
+    for name, value in changes.items():
+        monkeypatch.setattr(m, name, value)
+    texts = made_texts(seed)
+    assert results(spark, texts) == m.brute_force(texts)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(5000)]
+    long_ = " ".join(rng.choices(words, k=60_000))
+    texts = {1: long_[50_000:90_000], 2: long_, 3: "x" * 100_000, 4: "x" * 70_000 + long_[:1000], 5: long_ + "."}
+    texts = {i: t.encode() for i, t in texts.items()}
+    assert results(spark, texts) == m.brute_force(texts)
+
+
+@settings(deadline=None, max_examples=80)
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 2), st.integers(-40, 400)), max_size=40), st.integers(50, 400))
+def test_runs_cover_what_their_anchors_cover(rows, n):
+    rows = [(a, (o, 0, oat)) for a, o, oat in rows if a + m.KMER <= n]
+    runs = m.settled_runs([a for a, _ in rows], [o for _, o in rows], n)
+    cover = lambda a: range(max(0, a - m.BEFORE), min(n, a + m.MATCH))
+    assert {(o[0], p, p + o[2] - a) for a, o in rows for p in cover(a)} == {(oid, start + k, ostart + k) for start, length, oid, _, ostart in runs for k in range(length)}
+    assert all(ostart // m.BLOCK == (ostart + length - 1) // m.BLOCK for _, length, _, _, ostart in runs)
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.tuples(st.sampled_from([b"a", b"b", b"c"]), st.integers(0, 3)), max_size=40), st.lists(st.integers(0, 40), max_size=3))
+def test_windows_over_borders(rows, cuts):
+    rows, bounds = sorted(rows), sorted({0, 40, *cuts})
+    found = []
+    for lo, hi in zip(bounds, bounds[1:]):
+        part = rows[lo:hi]
+        b = pa.RecordBatch.from_arrays([pa.array([i for _, i in part], pa.int64()), pa.array([0] * len(part), pa.int64()), pa.array(range(lo, lo + len(part)), pa.int32()), pa.array([w for w, _ in part], pa.binary())], list("abcd"))
+        found += [r for x in m._neighbours(iter([b])) for r in x.to_pylist()]
+    least = {}
+    for r in found:
+        if r["border"] is not None:
+            least[r["border"]] = min(r["owner"], least.get(r["border"], r["owner"]))
+    got = {r["start"] for r in found if r["border"] is None or r["id"] > least[r["border"]]}
+    assert got == {k for k, (w, i) in enumerate(rows) if i > min(j for v, j in rows if v == w)}
 
 
 def test_null_empty_and_repeated_rows(spark):
@@ -92,7 +137,7 @@ def test_settling_does_not_depend_on_batches(rows, size):
     def result(step):
         parts = [slice(a, a + step) for a in range(0, len(rows), step)]
         batches = [pa.RecordBatch.from_arrays([pa.array(c[p]) for c in (kmer, salt, context, ids, ids, np.arange(len(rows)))], list("abcdef")) for p in parts]
-        return sorted((r["kmer"], r["id"], r["at"], r["settled"]) for b in m._settle(iter(batches)) for r in b.to_pylist())
+        return sorted((r["kmer"], r["id"], r["at"], r["oid"] is not None, r["oid"] or 0, r["oat"] or 0) for b in m._settle(iter(batches)) for r in b.to_pylist())
 
     assert result(size) == result(1000)
     first = {}

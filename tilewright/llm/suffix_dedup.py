@@ -5,14 +5,18 @@ of the k-mers in a 50-byte window, the one of least hash is the window's anchor,
 equal offsets. Only suffixes around anchors are sorted.
 
 1. Equal texts are represented by the smallest id; larger ids lose everything and take no further part.
-2. Each text's anchors are dealt by k-mer hash. Rows sorted by (k-mer, context, id) stream past: an anchor whose whole
-   context a smaller id has is settled, and what is left of a k-mer with several ids is open.
-3. Open anchors are dealt again with their context bytes. Within a k-mer, the suffixes from the anchor and the reversed
+2. Each text's anchors are dealt by k-mer hash and put in the order of (k-mer, context, id), by hashes. Of neighbours with one
+   context the first owns it and the others are settled, and what is left of a k-mer with several ids is open.
+3. Settled anchors are verified against the bytes: along a text they make runs that lie in one owner at one distance, runs are cut where the
+   owner's text has a multiple of ``BLOCK``, and each cut's BLAKE2 digest is compared with that of the owner's own bytes. Equal cuts of
+   one owner are one request, so an owner gets no more of them than its length allows, however many copies it has. Where any
+   differs, two hashes have collided: all k-mers of that text's runs are open, with every row that they have.
+4. Open anchors are dealt again with their context bytes. Within a k-mer, the suffixes from the anchor and the reversed
    prefixes before it are put in order by a mergesort that compares by the longest common extension, found by binary search
    on prefix polynomial hashes; neighbours' extensions are then verified byte by byte. The extensions cut each order into
-   classes, and for each offset of the window the least id of a class decides. A k-mer with more than ``HOT`` contexts is cut
-   by window content instead, with a partial aggregate, so no task holds a group of unbounded size.
-4. Each text drops the union of its intervals.
+   classes, and for each offset of the window the least id of a class decides. The order of a k-mer with more than ``HOT`` contexts is cut
+   by sampled splitters and sorted in pieces, window by window, so no task holds a group of unbounded size.
+5. Each text drops the union of its intervals.
 """
 
 from __future__ import annotations
@@ -31,11 +35,15 @@ from ._common import BATCH_ROWS, discard, documents, materialise, release, small
 #: Bytes of a match, of a k-mer, and before an anchor within a window.
 MATCH, KMER = 50, 20
 BEFORE = MATCH - KMER
-#: Contexts of one k-mer that one task takes.
-HOT = 1 << 15
+#: Contexts of one k-mer that one task takes, and bytes of an owner's text that one request covers at most.
+HOT, BLOCK = 1 << 15, 256
+#: Bytes of dealt anchors that one partition takes about, and of dealt anchors for a byte of text (one anchor in 16, 44 bytes each).
+PARTITION_BYTES, DEALT = 64 << 20, 2.75
 #: Texts from which frequent k-mers are known, the share of a mean partition that makes one frequent, and the ways that
 #: its rows of one context are cut. They decide the dealing only, never results.
 SAMPLE_TEXTS, FREQUENT, WAYS = 4000, 0.25, 16
+#: Bits of the k-mer's and of the context's hash that count.
+KMER_BITS, CONTEXT_BITS = 0xFFFFFFFFFFFF0000, 0xFFFFFFFFFFFFFFFF
 # Odd multipliers of the polynomial hashes modulo 2^64.
 _BASE, _CONTEXT_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _tables: list[tuple[SparkSession, str]] = []
@@ -93,7 +101,14 @@ def anchors(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_sliding(np.concatenate([zeros, least, zeros]), width, np.maximum) == h)
 
 
-def _anchor_rows(batches):
+def _anchor_rows(kmer_bits: int, context_bits: int):
+    def scan(batches):
+        yield from _anchored(batches, kmer_bits, context_bits)
+
+    return scan
+
+
+def _anchored(batches, kmer_bits: int, context_bits: int):
     for b in batches:
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
         ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
@@ -105,7 +120,7 @@ def _anchor_rows(batches):
             lo, hi = np.maximum(at - BEFORE, 0), np.minimum(at + MATCH, len(text))
             # a context cut by the text's start or end equals only one that is cut likewise
             context = PrefixHashes(text, _CONTEXT_BASE)(lo, hi) ^ ((at - lo) << 8 | (hi - at)).astype(np.uint64)
-            for c, v in zip(cols, (h[at] & ~np.uint64(0xFFFF), context, np.full(len(at), ids[k]), np.full(len(at), keys[k]), at), strict=True):
+            for c, v in zip(cols, (h[at] & np.uint64(kmer_bits), context & np.uint64(context_bits), np.full(len(at), ids[k]), np.full(len(at), keys[k]), at), strict=True):
                 c.append(v)
         if cols[0]:
             kmer, context, *rest = (np.concatenate(c) for c in cols)
@@ -123,15 +138,16 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 
 def _settle(batches):
-    """Rows sorted by (kmer, salt, context, id): settled ones and open ones. Between batches it carries the first row of the
-    current context and the open rows of the current k-mer for as long as they are of one document. A frequent k-mer (salt
+    """Rows sorted by (kmer, salt, context, id): settled ones with their owner's anchor, and open ones with none. Between batches it carries
+    the first row of the current context and the open rows of the current k-mer for as long as they are of one document. A frequent k-mer (salt
     over 0) lies in many tasks and has several documents for sure."""
-    names = ["kmer", "id", "key", "at", "settled"]
+    names = ["kmer", "id", "key", "at", "oid", "okey", "oat"]
     marker, held, several = None, None, None
 
-    def rows(part, settled):
+    def rows(part, owner=None):
         kmer, _, *rest = part
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in (kmer, *rest)), pa.array(np.full(len(kmer), settled))], names)
+        owner = [pa.array(c) for c in owner] if owner else [pa.nulls(len(kmer), t) for t in (pa.int64(), pa.int64(), pa.int32())]
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in (kmer, *rest)), *owner], names)
 
     def split(part, last: bool):
         """Open rows that go on, those that wait."""
@@ -154,14 +170,14 @@ def _settle(batches):
         new = _starts(kmer, salt, context)
         if marker is not None:
             new[0] = (kmer[0], salt[0], context[0]) != marker[:3]
-        run = np.cumsum(new) - 1
-        firsts = ids[new]
-        owner = np.where(run >= 0, firsts[np.maximum(run, 0)] if len(firsts) else 0, marker[3] if marker else 0)
-        marker = (kmer[-1], salt[-1], context[-1], owner[-1])
+        run, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        # of each row: the anchor that owns its context; of rows before the first new context, the marker's
+        owner = [np.where(run >= 0, c[first][np.maximum(run, 0)] if len(first) else c[0], c.dtype.type(marker[3 + k] if marker else 0)) for k, c in enumerate((ids, keys, at))]
+        marker = (kmer[-1], salt[-1], context[-1], *(c[-1] for c in owner))
         part = [kmer, salt, ids, keys, at]
-        open_ = ids == owner
+        open_ = ids == owner[0]
         if not open_.all():
-            yield rows([c[~open_] for c in part], True)
+            yield rows([c[~open_] for c in part], [c[~open_] for c in owner])
         part = [c[open_] for c in part]
         if several is not None and len(part[0]) == 0 and kmer[-1] != several:
             several = None
@@ -170,21 +186,71 @@ def _settle(batches):
         if len(part[0]):
             go, held = split(part, False)
             if len(go[0]):
-                yield rows(go, False)
+                yield rows(go)
             held = held if len(held[0]) else None
 
 
+def settled_runs(at: list[int], owners: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int, int, int]]:
+    """Settled anchors of a text of n bytes, with the anchors that own them, as runs cut at the owner's blocks: (start, length, owner's id, key, start).
+    What anchors of one owner and one distance cover together is one run."""
+    out = []
+    by = sorted((*o[:2], o[2] - a, a) for a, o in zip(at, owners, strict=True))
+    k = 0
+    while k < len(by):
+        oid, okey, far, a = by[k]
+        start, stop = max(0, a - BEFORE), min(n, a + MATCH)
+        k += 1
+        while k < len(by) and by[k][:3] == (oid, okey, far) and by[k][3] - BEFORE <= stop:
+            stop = min(n, by[k][3] + MATCH)
+            k += 1
+        while start < stop:
+            cut = min(stop, ((start + far) // BLOCK + 1) * BLOCK - far)
+            out.append((start, cut - start, oid, okey, start + far))
+            start = cut
+    return out
+
+
+def _digest(part: bytes) -> bytes:
+    return hashlib.blake2b(part, digest_size=16).digest()
+
+
+_CONTEXTS = "kmer long, id long, key long, at int, before int, bytes binary, length int, oid long, okey long, ostart int"
+
+
 def _contexts(batches):
-    """The bytes around each open anchor of a text."""
+    """Of each text: the bytes around its open anchors, and (kmer null) its settled runs, whose bytes are a digest."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+    names = [c.split()[0] for c in _CONTEXTS.split(", ")]
     for b in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        for i, key, t, at, kmers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-            for a, kmer in zip(at, kmers, strict=True):
-                lo = max(0, a - BEFORE)
-                for c, v in zip(out, (kmer, i, key, a, a - lo, t[lo : a + MATCH]), strict=True):
+        out: list[list] = [[] for _ in kinds]
+        for i, key, t, *lists in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), *(c.to_pylist() for c in b.columns[3:]), strict=True):
+            settled, owners = [], []
+            for a, kmer, *owner in zip(*lists, strict=True):
+                if owner[0] is None:
+                    lo = max(0, a - BEFORE)
+                    for c, v in zip(out, (kmer, i, key, a, a - lo, t[lo : a + MATCH], None, None, None, None), strict=True):
+                        c.append(v)
+                else:
+                    settled.append(a)
+                    owners.append(tuple(owner))
+            for start, length, oid, okey, ostart in settled_runs(settled, owners, len(t)):
+                for c, v in zip(out, (None, i, key, start, None, _digest(t[start : start + length]), length, oid, okey, ostart), strict=True):
                     c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["kmer", "id", "key", "at", "before", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+
+def _differing(batches):
+    """Requests whose digest is not that of the owner's own bytes."""
+    for b in batches:
+        out: list[list] = [[], [], [], [], []]
+        for i, key, t, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for r in asked:
+                start, length = r["ostart"], r["length"]
+                if start < 0 or start + length > len(t) or _digest(t[start : start + length]) != r["bytes"]:
+                    for c, v in zip(out, (i, key, start, length, r["bytes"]), strict=True):
+                        c.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["oid", "okey", "ostart", "length", "bytes"])
 
 
 class SuffixOrder:
@@ -304,15 +370,53 @@ def _repeated(batches):
         yield found(carry)
 
 
+def _neighbours(batches):
+    """Windows sorted by (bytes, id): those that equal a neighbour before them of a smaller id, the ``owner`` of their run. Runs that touch
+    the partition's border may go on beyond it: all of their rows come, with their window."""
+    first = run = owner = None
+    done, held = [], []
+
+    def batch(rows):
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "key", "start", "owner", "border"])
+
+    def let_out(border):
+        done.extend([(*r, run) for r in held] if border else [(*r, None) for r in held if r[0] > r[3]])
+        held.clear()
+
+    for b in batches:
+        for i, key, start, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if w != run:
+                let_out(run == first)
+                first = w if first is None else first
+                run, owner = w, i
+            held.append((i, key, start, owner))
+            if len(held) >= 4096:  # a run of any length passes in parts
+                let_out(run == first)
+            if len(done) >= 4096:
+                yield batch(done)
+                done = []
+    let_out(True)
+    if done:
+        yield batch(done)
+
+
 def _hot_repeats(rows: DataFrame) -> DataFrame:
-    """The same for k-mers of many contexts: each window by its content. The aggregate combines before its exchange, and the
-    join's key holds the document, so that no task gets a whole group."""
+    """The same for k-mers of many contexts: their windows are dealt by sampled splitters of (bytes, id), sorted, and compared with their neighbours in full,
+    so that a run of equal windows is cut into as many partitions as it needs. The least id of a run over a border comes from a combining
+    aggregate over such runs alone."""
     offset = F.explode(F.sequence(F.greatest(F.lit(0), MATCH - F.octet_length("bytes") + F.col("before")), F.least(F.lit(BEFORE), F.col("before")))).alias("offset")
     w = rows.select("id", "key", "at", "before", "bytes", offset)
     window = F.substring("bytes", F.col("before") - F.col("offset") + 1, F.lit(MATCH))
-    w = w.select("id", "key", (F.col("at") - F.col("offset")).alias("start"), F.sha2(window, 256).alias("window"))
-    first = w.groupBy("window").agg(F.min("id").alias("id"))
-    return w.join(first, ["window", "id"], "left_anti").select("id", "key", "start", (F.col("start") + MATCH).alias("stop"))
+    w = w.select("id", "key", (F.col("at") - F.col("offset")).alias("start"), window.alias("window"))
+    placed = w.repartitionByRange("window", "id").sortWithinPartitions("window", "id")
+    found = materialise(placed.mapInArrow(_neighbours, "id long, key long, start int, owner long, border binary"), "hot-windows")
+    border = found.filter(F.col("border").isNotNull())
+    least = border.groupBy("border").agg(F.min("owner").alias("least"))
+    # the window beside the document: no key of the join holds a whole run
+    owned = border.join(least.select("border", F.col("least").alias("id")), ["border", "id"], "left_anti")
+    spans = found.filter(F.col("border").isNull()).select("id", "key", "start").unionByName(owned.select("id", "key", "start"))
+    return spans.select("id", "key", "start", (F.col("start") + MATCH).alias("stop"))
 
 
 def _cut(batches):
@@ -341,11 +445,10 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def _bucketed(rows: DataFrame, by: list[str]) -> DataFrame:
+def _bucketed(rows: DataFrame, by: list[str], buckets: int) -> DataFrame:
     """``rows`` as a table in the warehouse, dealt by ``by``: later joins on these columns do not move it."""
     spark, name = rows.sparkSession, f"suffix_texts_{uuid.uuid4().hex}"
     _tables.append((spark, name))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.repartition(buckets, *by).write.format("parquet").option("compression", "zstd").bucketBy(buckets, *by).saveAsTable(name)
     return spark.table(name)
 
@@ -363,35 +466,56 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keys = materialise(rows.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")), "texts")
     judged = (F.col("id").isNotNull()) & (F.col("n_bytes") >= MATCH)
     owners = materialise(keys.filter(judged).groupBy("sha").agg(F.min(F.struct("id", "key")).alias("o")).select("o.id", "o.key"), "owners")
-    texts = _bucketed(rows.filter(F.col("id").isNotNull() & (F.octet_length("text") >= MATCH)).join(owners, ["id", "key"], "left_semi"), ["id", "key"])
+    size = keys.agg(F.sum("n_bytes")).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size * DEALT / PARTITION_BYTES) + 1)
+    texts = _bucketed(rows.filter(F.col("id").isNotNull() & (F.octet_length("text") >= MATCH)).join(owners, ["id", "key"], "left_semi"), ["id", "key"], partitions)
     release(spark)
 
-    kind = "kmer long, context long, id long, key long, at int"
-    dealt = texts.select("id", "key", "text").mapInArrow(_anchor_rows, kind)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind, anchored = "kmer long, context long, id long, key long, at int", _anchor_rows(KMER_BITS, CONTEXT_BITS)
+    dealt = texts.select("id", "key", "text").mapInArrow(anchored, kind)
     share = min(1.0, SAMPLE_TEXTS / max(1, owners.count()))
     sampled = texts.filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    counts = materialise(sampled.select("id", "key", "text").mapInArrow(_anchor_rows, kind).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")), "sampled-kmers")
+    counts = materialise(sampled.select("id", "key", "text").mapInArrow(anchored, kind).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")), "sampled-kmers")
     least = (counts.agg(F.sum("n")).first()[0] or 0) * FREQUENT / partitions
     # by their shares at most partitions / FREQUENT of them
     frequent = materialise(counts.filter((F.col("n") > least) & (F.col("n") > 1)).select("kmer", F.lit(True).alias("frequent")), "frequent-kmers")
     salt = F.when(F.col("frequent"), 1 + F.pmod(F.xxhash64("context", F.pmod(F.xxhash64("id"), F.lit(WAYS))), F.lit(1 << 20))).otherwise(F.lit(0)).cast("int")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(32 * BATCH_ROWS))  # rows of a few numbers
-    dealt = dealt.join(F.broadcast(frequent), "kmer", "left").select("kmer", salt.alias("salt"), "context", "id", "key", "at")
-    settled = materialise(dealt.repartition("kmer", "salt").sortWithinPartitions("kmer", "salt", "context", "id").mapInArrow(_settle, "kmer long, id long, key long, at int, settled boolean"), "anchors")
+    salted = dealt.join(F.broadcast(frequent), "kmer", "left").select("kmer", salt.alias("salt"), "context", "id", "key", "at")
+    sorted_ = salted.repartition(partitions, "kmer", "salt").sortWithinPartitions("kmer", "salt", "context", "id")
+    settled = materialise(sorted_.mapInArrow(_settle, "kmer long, id long, key long, at int, oid long, okey long, oat int"), "anchors")
     small_batches(spark)
     release(spark)
 
-    at = settled.filter(~F.col("settled")).groupBy("id", "key").agg(F.collect_list(F.struct("at", "kmer")).alias("a"))
-    open_ = texts.join(at, ["id", "key"]).select("id", "key", "text", "a.at", "a.kmer")
-    contexts = materialise(open_.mapInArrow(_contexts, "kmer long, id long, key long, at int, before int, bytes binary"), "contexts")
+    fields = ("at", "kmer", "oid", "okey", "oat")
+
+    def around(anchors: DataFrame) -> DataFrame:
+        at = anchors.groupBy("id", "key").agg(F.collect_list(F.struct(*fields)).alias("a"))
+        return texts.join(at, ["id", "key"]).select("id", "key", "text", *(f"a.{f}" for f in fields)).mapInArrow(_contexts, _CONTEXTS)
+
+    both = materialise(around(settled), "contexts")
+    contexts, runs = both.filter(F.col("kmer").isNotNull()), both.filter(F.col("kmer").isNull())
+    asked = ("ostart", "length", "bytes")
+    requests = runs.select("oid", "okey", *asked).distinct().groupBy("oid", "okey").agg(F.collect_list(F.struct(*asked)).alias("asked"))
+    requests = requests.select(F.col("oid").alias("id"), F.col("okey").alias("key"), "asked")
+    differing = texts.join(requests, ["id", "key"]).select("id", "key", "text", "asked").mapInArrow(_differing, "oid long, okey long, ostart int, length int, bytes binary")
+    differing = materialise(differing, "differing-runs")
+    if differing.head(1):  # two hashes have collided: every row of the k-mers of such a text's runs is open
+        wrong = materialise(runs.join(differing, ["oid", "okey", *asked], "left_semi").select("id", "key").distinct(), "collided-texts")
+        kmers = materialise(settled.filter(F.col("oid").isNotNull()).join(wrong, ["id", "key"], "left_semi").select("kmer").distinct(), "collided-kmers")
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("oid", "long"), ("okey", "long"), ("oat", "int"))]
+        again = around(dealt.join(kmers, "kmer", "left_semi").select("kmer", "id", "key", "at", *none))
+        contexts = contexts.join(kmers, "kmer", "left_anti").unionByName(materialise(again, "collided-contexts"))
+        runs = runs.join(wrong, ["id", "key"], "left_anti")
     hot = materialise(contexts.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("kmer"), "hot-kmers")
     few = F.broadcast(hot)  # one row for each HOT contexts at most
-    cool = contexts.join(few, "kmer", "left_anti").repartition("kmer").sortWithinPartitions("kmer").mapInArrow(_repeated, "id long, key long, start int, stop int")
-    spans = cool.unionByName(_hot_repeats(contexts.join(few, "kmer", "left_semi"))) if hot.head(1) else cool
-    whole = settled.filter("settled").select("id", "key", F.greatest(F.lit(0), F.col("at") - BEFORE).alias("start"), (F.col("at") + MATCH).alias("stop"))
+    cool = contexts.join(few, "kmer", "left_anti").select("kmer", "id", "key", "at", "before", "bytes").repartition(partitions, "kmer").sortWithinPartitions("kmer")
+    spans = cool.mapInArrow(_repeated, "id long, key long, start int, stop int")
+    if hot.head(1):
+        spans = spans.unionByName(_hot_repeats(contexts.join(few, "kmer", "left_semi")))
+    whole = runs.select("id", "key", F.col("at").alias("start"), (F.col("at") + F.col("length")).alias("stop"))
     spans = materialise(spans.unionByName(whole).groupBy("id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    discard(contexts)
+    discard(both)
     discard(settled)
 
     clip = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.least(s["stop"], F.octet_length("text")).alias("stop")))
