@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -58,6 +59,35 @@ def test_components_equal_all_pairs(spark, monkeypatch, group):
     assert linked(spark, prints) == roots(prints)
 
 
+@pytest.mark.parametrize("direct", [4, 60])
+def test_keys_dealt_again_give_the_same_sets(direct):
+    prints = clustered(3, 400)
+    fps, ids = np.array(list(prints.values()), np.uint64), np.array(list(prints))
+    sets = lambda found: sorted((root, sorted(others.tolist())) for root, others in found)
+    assert sets(m.forest(fps, ids, direct=direct)) == sets(m.forest(fps, ids, direct=10**9))
+
+
+def test_many_unlinked_members_of_one_key():
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 1 << 43, 200_000, np.uint64) << np.uint64(21)  # 21 bits of the key are equal
+    fps[1] = fps[150_000] ^ np.uint64(7 << 30)
+    began = time.perf_counter()
+    found = {root: set(others.tolist()) for root, others in m.forest(fps, np.arange(len(fps)))}
+    assert time.perf_counter() - began < 60
+    assert 150_000 in found[1]
+
+
+@pytest.mark.parametrize("changes", [{"HUB": 3, "HUB_WAYS": 4}])
+def test_hubs_are_cut(spark, monkeypatch, changes):
+    for name, value in changes.items():
+        monkeypatch.setattr(m, name, value)
+    prints = clustered(2) | {k: 0 for k in range(10_000, 10_040)} | {20_000 + b: 1 << b for b in range(64)}
+    assert linked(spark, prints) == roots(prints)
+    texts = [(i, t) for i, t in enumerate(["", "one two three four", None, " ", "five six seven"] * 8)]
+    got = {r["id"]: r["component"] for r in m.simhash_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == roots({i: print_of(t) for i, t in texts})
+
+
 def test_long_chains(spark):
     prints, v = {}, 0
     for k in range(40):  # each is linked only to its neighbours
@@ -99,3 +129,12 @@ def test_fingerprints_and_odd_rows(spark):
     assert by == roots({i: print_of(t) for i, t in texts.items()})
     assert sorted(str(r["component"]) for r in rows if r["id"] is None) == ["4", "None"]
     assert m.simhash_groups(df.limit(0)).count() == 0
+
+
+def test_registered_query_equals_all_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    prints = {i: print_of(t) for i, t in texts.items()}
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in m.op10_simhash(spark, sf).collect()}
+    component = roots(prints)
+    assert got == {i: (f"{prints[i]:016x}", component[i]) for i in texts}

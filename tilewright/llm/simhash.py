@@ -5,8 +5,9 @@ over all fingerprints), and each partition gets a threshold of its own, so that
 two fingerprints within the radius then agree within the threshold on some partition. A dynamic programme picks the
 number of partitions and the thresholds with the least estimated cost; the estimates decide speed only, never results.
 Each distinct fingerprint is dealt to the keys of its partitions. Members of a key are verified in full and only the edges
-of a spanning forest leave the task; a key over ``GROUP`` members is cut into pairs of blocks. Components come from
-alternating large and small stars over those edges.
+of a spanning forest leave the task; within a key of more than ``DIRECT`` members the pigeonhole is applied again to the bits that the key leaves open, so
+their comparisons do not grow with the square. A key over ``GROUP`` members is cut into pairs of blocks. Components come from
+alternating large and small stars over those edges; the join that hooks a node to its neighbours is salted, so a hub is many tasks.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from ._common import discard, documents, materialise, small_batches
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints from which candidate counts are estimated, and what a dealt row costs against a verified pair.
 SAMPLE, ROW_COST = 3000, 30
-#: Members of a key that one task takes at once.
-GROUP = 1 << 19
+#: Members of a key that one task takes at once, and members that are compared one with another.
+GROUP, DIRECT = 1 << 19, 1 << 11
+#: Ways that the neighbours of a hub are cut, and neighbours that make a node one.
+HUB_WAYS, HUB = 64, 1 << 16
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -154,9 +157,15 @@ def _dealt(scheme):
     return scan
 
 
-def forest(fps: np.ndarray, owners: np.ndarray, radius: int = RADIUS) -> list[tuple[int, np.ndarray]]:
+def forest(fps: np.ndarray, owners: np.ndarray, radius: int = RADIUS, direct: int | None = None) -> list[tuple[int, np.ndarray]]:
     """(root, others) for each connected set of more than one: linked members are taken out as soon as one is reached, so a
-    dense group costs far fewer comparisons than it has pairs."""
+    dense group costs far fewer comparisons than it has pairs. More than ``direct`` members are dealt again, and again, by the bits in which they differ."""
+    direct = DIRECT if direct is None else direct
+    if len(fps) > direct:
+        spread = np.bitwise_or.reduce(fps ^ fps[0])
+        open_ = [b for b in range(64) if int(spread) >> b & 1]
+        if len(open_) > 2 * (radius + 1):
+            return _dealt_again(fps, owners, open_, radius, direct)
     out = []
     left, at = fps, owners
     while len(left) > 1:
@@ -176,6 +185,43 @@ def forest(fps: np.ndarray, owners: np.ndarray, radius: int = RADIUS) -> list[tu
     return out
 
 
+def _dealt_again(fps: np.ndarray, owners: np.ndarray, bits: list[int], radius: int, direct: int) -> list[tuple[int, np.ndarray]]:
+    """``forest`` of many members: within the radius they agree on one of radius + 1 groups of the open bits, so members with equal values of a group
+    are searched among themselves, a group at a time, and the found sets are joined."""
+    root = np.arange(len(fps))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    parts = radius + 1
+    for p in range(parts):
+        own = bits[p::parts]  # neighbouring bits go to different groups
+        v = values_of(fps, own)
+        order = np.argsort(v, kind="stable")
+        cuts = np.flatnonzero(np.diff(v[order])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(v)], strict=True):
+            some = order[lo:hi]
+            if hi - lo > 1:
+                for first, others in forest(fps[some], some, radius, direct):
+                    for k in others.tolist():
+                        a, b = top(first), top(k)
+                        root[max(a, b)] = min(a, b)
+    while (root != root[root]).any():
+        root = root[root]
+    order = np.argsort(root, kind="stable")
+    cuts = np.flatnonzero(np.diff(root[order])) + 1
+    out = []
+    for lo, hi in zip([0, *cuts], [*cuts, len(root)], strict=True):
+        if hi - lo > 1:
+            members = owners[order[lo:hi]]
+            least = members.min()
+            out.append((int(least), members[members != least]))
+    return out
+
+
 def _linked(batches):
     keys, fps, owners = (np.zeros(0, np.int64) for _ in range(3))
 
@@ -206,9 +252,17 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node that each node of ``edges`` (u, v) can reach, for nodes that are not their own root.
     Alternates large stars and small stars until the edges stay as they are."""
 
-    def hooked(e: DataFrame, both: DataFrame) -> DataFrame:
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return e.join(least, "u")
+    def hooked(e: DataFrame, least: DataFrame) -> DataFrame:
+        """``e`` beside the least neighbour of u: the neighbours of a hub are cut by v, and its one row of ``least`` goes to each cut."""
+        salted = e.withColumn("way", F.pmod(F.xxhash64("v"), F.lit(HUB_WAYS)).cast("int"))
+        hubs = least.filter(F.col("n") > HUB)
+        ways = F.explode(F.when(F.col("n") > HUB, F.sequence(F.lit(0), F.lit(HUB_WAYS - 1))).otherwise(F.array(F.lit(-1)))).alias("way")
+        marked = salted.join(F.broadcast(hubs.select("u", F.lit(True).alias("hub"))), "u", "left")  # one for each HUB edges at most
+        marked = marked.withColumn("way", F.when(F.col("hub"), F.col("way")).otherwise(F.lit(-1))).drop("hub")
+        return marked.join(least.select("u", "m", ways), ["u", "way"]).drop("way")
+
+    def neighbours(e: DataFrame) -> DataFrame:
+        return e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
 
     def larger_first(e: DataFrame) -> DataFrame:
         return e.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -220,11 +274,11 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours go to the least neighbour
-        large = hooked(both, both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = hooked(both, neighbours(both).withColumn("m", F.least("u", "m"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(larger_first(large), "large-star")
         # small star: the node and its smaller neighbours go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = neighbours(large)
+        small = hooked(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         then = materialise(larger_first(small), "small-star")
         discard(large)
         discard(now)
@@ -271,7 +325,14 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     share a component. Rows with a null id take part through the fingerprint they share with others; where it has no id at
     all, the component is null. An empty table gives an empty result. Other columns are not read."""
     prints = materialise(fingerprints(df, id_col, text_col), "simhash")
-    return prints.join(link(prints, radius), "fp", "left").select("id", "fp", "component")
+    found = link(prints, radius)
+    # a fingerprint may be that of a third of all rows: its rows are cut by id, and its one component goes to each cut
+    many = materialise(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HUB).select("fp", F.lit(True).alias("many")), "common-fingerprints")
+    few = F.broadcast(many)  # one row for each HUB rows at most
+    way = F.when(F.col("many"), F.pmod(F.xxhash64("id"), F.lit(HUB_WAYS)).cast("int")).otherwise(F.lit(-1)).alias("way")
+    ways = F.explode(F.when(F.col("many"), F.sequence(F.lit(0), F.lit(HUB_WAYS - 1))).otherwise(F.array(F.lit(-1)))).alias("way")
+    rows = prints.join(few, "fp", "left").select("id", "fp", way)
+    return rows.join(found.join(few, "fp", "left").select("fp", "component", ways), ["fp", "way"], "left").select("id", "fp", "component")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
