@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline as c
-from tilewright.llm import exact_dedup, secret_scan, simhash
+from tilewright.llm import exact_dedup, near_copies, secret_scan
 from tilewright.llm._common import materialise
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -31,11 +31,11 @@ def test_each_stage_takes_effect_and_keeps_the_columns(spark):
     for out in (language, exact, near, secrets):
         assert out.columns == docs.columns
     ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
-    assert ids(docs) - ids(language) == {102, 103, 104, None}
+    assert ids(docs) - ids(language) == {102, 103, 104}
     kept = {r["id"] for r in exact_dedup.content_sort_dedup(language).filter("kept").collect()}
     assert ids(exact) == kept and 100 not in kept and 4 in kept
-    groups = simhash.simhash_groups(exact).collect()
-    assert ids(near) == {r["component"] for r in groups} and ids(near) == {r["id"] for r in groups if r["id"] == r["component"]}
+    assert exact.filter("doc_id = 4").count() == 1
+    assert ids(near) == near_roots(exact) and 101 in ids(near)
     assert ids(secrets) == ids(near)
     for r in secrets.collect():
         assert "hunter22" not in r["text"] and r["n_chars"] == len(r["text"])
@@ -45,6 +45,33 @@ def test_each_stage_takes_effect_and_keeps_the_columns(spark):
     assert {r["doc_id"]: r["text"] for r in secrets.collect() if r["doc_id"] != 101} == {i: t for i, t in clean.items() if i != 101}
 
 
+def near_roots(df):
+    """The smallest id of each set of documents that similarities of 0.8 link, by all pairs."""
+    rows = sorted(((r["doc_id"], set(near_copies.shingle_set(r["text"].encode()).tolist())) for r in df.collect()), key=lambda r: (r[0] is None, r[0] or 0))
+    root = list(range(len(rows)))
+    for k, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows[:k]):
+            if len(a & b) >= 0.8 * len(a | b):
+                old, new = max(root[j], root[k]), min(root[j], root[k])
+                root = [new if r == old else r for r in root]
+    return {rows[k][0] for k in set(root)}
+
+
+def test_near_copies_equal_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert {r["doc_id"] for r in c.drop_near_copies(spark, docs, None).collect()} == near_roots(docs)
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    long_ = " ".join(random.Random(1).choices(WORDS["en"].split(), k=60_000))
+    rows = [(1, long_, "en", 3, "r", "k", 0.5), (2, long_ + " end", "en", 3, "r", "k", 0.5), (3, WORDS["en"], "en", 3, "r", "k", 0.5), (3, WORDS["en"].upper(), "en", 3, "r", "k", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int, row string, key string, score double")
+    *kept, packed = stages(spark, docs)
+    assert all(d.columns == docs.columns for d in kept)
+    assert sorted((r["doc_id"], len(r["text"])) for r in kept[-1].collect()) == [(1, len(long_)), (3, len(WORDS["en"]))]
+    assert {r["doc_id"] for r in packed.collect()} == {1, 3}
+
+
 def test_empty_table(spark):
     assert [d.count() for d in stages(spark, corpus(spark).limit(0))] == [0] * 5
 
