@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -133,3 +134,59 @@ def test_range_predicates_reach_the_scan(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(min_x,200.0)" in plan and "GreaterThanOrEqual(max_y,100.0)" in plan
     assert found.count() == query.range_query(index, (100.0, 100.0, 200.0, 200.0)).count()
+
+
+def test_studies(spark):
+    rects = lambda n: generate.uniform_rects(spark, n)
+    rows = bench.crossover(rects, [200, 3000], selectivity_pct=1.0, runs=1)
+    assert [r["rows"] for r in rows] == [200, 3000] and all(r["agrees"] and r["build_s"] > 0 for r in rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = bench.settings_sweep(spark, lambda: rects(500).groupBy("min_x").count().count(), {"spark.sql.shuffle.partitions": (1, 3), "spark.sql.files.maxPartitionBytes": ("1m",)})
+    assert [r["value"] for r in found] == [1, 3, "1m"] and spark.conf.get("spark.sql.shuffle.partitions") == before
+    study = bench.sort_study(rects(1000), (1, 4))
+    assert {(r["n"], r["id_sum"], r["out_of_order"]) for r in study} == {(1000, 499500, 0)}
+    report = bench.warm_up(lambda: rects(10).count(), 1)
+    assert report["first_s"] > 0 and report["steady_s"] > 0
+
+
+def test_audit_finds_broken_links(spark):
+    index = build.build_index(generate.uniform_rects(spark, 500), leaf_cap=10, internal_cap=10)
+    point = lambda at, to: broken(index, lambda e: e.withColumn("child", F.when((F.col("level") > 0) & (F.col("child") == at), to).otherwise(F.col("child"))))
+    found = lambda ix: {r["check"]: r["violations"] for r in verify.verify(ix).filter("violations > 0").collect()}
+    assert found(index) == {}
+    dangling = found(point(7, 999))
+    assert (dangling["page_exists"], dangling["page_reached"], dangling["page_id_in_range"]) == (1, 1, 1)
+    twice = found(point(7, 8))
+    assert (twice["page_reached"], twice["page_reached_once"]) == (1, 1) and "page_exists" not in twice
+    to_root = found(point(7, index.root_page))
+    assert to_root["page_reached_once"] == 1 and "leaves_at_one_depth" in to_root
+    meta = index.meta.withColumn("num_nodes", F.col("num_nodes") - 1)
+    wrong = found(build.RectIndex(index.entries, index.nodes, meta, index.pages, index.root_page))
+    assert (wrong["node_count_as_stated"], wrong["page_id_in_range"]) == (1, 1)
+    assert [tuple(r) for r in verify.samples(point(7, 999)).filter("check = 'page_reached'").collect()] == [("page_reached", 7)]
+    assert [r["page"] for r in verify.faulty_pages(point(7, 999), "page_reached").collect()] == [7]
+    assert [r["id"] for r in verify.faulty_objects(broken(index, lambda e: e.filter("level > 0 or child <> 3")), "no_object_missing").collect()] == [3]
+
+
+def test_descent_broadcasts_internal_levels_and_joins_leaves(spark):
+    index = build.build_index(generate.uniform_rects(spark, 3000), leaf_cap=10, internal_cap=10)
+    queries = generate.uniform_rects(spark, 2000, seed=5).withColumnRenamed("id", "qid")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = query.batch_range_join(index, queries, broadcast_queries=100)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and "CartesianProduct" not in plan
+        assert {tuple(r) for r in found.collect()} == {tuple(r) for r in query.batch_range_join(index, queries).collect()}
+        dealt = query.descend(index, query._queries(queries), broadcast_bytes=0).select("qid", F.col("child").alias("id"))
+        assert dealt.exceptAll(found).count() == 0 and dealt.count() == found.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_nothing_stays_persisted_and_released_levels_go(spark):
+    with build.build_index(generate.uniform_rects(spark, 300), leaf_cap=10, internal_cap=10) as index:
+        paths = [level.written_at for level in index.kept]
+        assert index.entries.count() > 300
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+    assert all(not os.path.exists(p.removeprefix("file:")) for p in paths)

@@ -2,6 +2,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as G
 from tilewright.functions import shape
@@ -84,3 +85,37 @@ def test_stream_of_rectangles(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("hits").count() == generate.uniform_rects(spark, 500).filter("min_x <= 500 and min_y <= 500").count()
+
+
+def test_faulty_pages_and_overwriting(spark, tmp_path):
+    index = build.build_index(generate.uniform_rects(spark, 300))
+    binary.write_tree(index, str(tmp_path / "tree"))
+    raw = bytearray(b"".join(open(f, "rb").read() for f in binary.files_of(str(tmp_path / "tree"))))
+    one = tmp_path / "tree.bin"
+    one.write_bytes(raw[:4096] + struct.pack("<I", 171) + raw[4100:])
+    with pytest.raises(Exception, match="171 entries of at most 170"):
+        binary.read_tree(spark, str(one)).entries.count()
+    one.write_bytes(raw[: 4096 + 8 + 16] + struct.pack("<Q", 1 << 63) + raw[4096 + 32 :])
+    with pytest.raises(Exception, match="2.63 or more"):
+        binary.read_tree(spark, str(one)).entries.count()
+    out = str(tmp_path / "rects")
+    binary.write_rects(generate.uniform_rects(spark, 100), out)
+    bad = generate.uniform_rects(spark, 50).withColumn("min_x", F.when(F.col("id") == 49, float("nan")).otherwise(F.col("min_x")))
+    with pytest.raises(Exception, match="finite"):
+        binary.write_rects(bad, out)
+    assert binary.read_rects(spark, out).count() == 100  # a failed job leaves the earlier files
+    binary.write_rects(generate.uniform_rects(spark, 70), out)
+    assert binary.read_rects(spark, out).count() == 70
+
+
+def test_standing_queries(spark, tmp_path):
+    generate.uniform_rects(spark, 300).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(G.RECT_SCHEMA).parquet(str(tmp_path / "in"))
+    queries = spark.createDataFrame([(0, 0.0, 0.0, 500.0, 500.0), (1, 900.0, 900.0, 901.0, 901.0)], "qid long, min_x double, min_y double, max_x double, max_y double")
+    q = continuous.continuous_batch_query(stream, queries).writeStream.format("memory").queryName("standing").start()
+    q.processAllAvailable()
+    q.stop()
+    want = {(k, r["id"]) for r in generate.uniform_rects(spark, 300).collect() for k, (a, b) in enumerate([(0, 500), (900, 901)]) if r["min_x"] <= b and r["max_x"] >= a and r["min_y"] <= b and r["max_y"] >= a}
+    assert {tuple(r) for r in spark.table("standing").collect()} == want
+    with pytest.raises(ValueError, match="standing queries"):
+        continuous.continuous_batch_query(stream, queries, most=1)
