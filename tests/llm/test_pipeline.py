@@ -13,7 +13,7 @@ WORDS = {"en": "the quick brown fox jumps over a lazy dog near some river bank",
 def corpus(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices(WORDS[lang].split(), k=rng.randint(20, 60))) + ".", lang, "s") for i, lang in enumerate(["en", "fr"] * 40)]
-    rows += [(100, rows[4][1].upper(), "en", "s"), (101, rows[5][1] + " password = hunter22secret", "fr", "s"), (102, "12345 --- !!!", "en", "s"), (103, None, "en", "s"), (104, "", None, None), (None, "the fox without an id", "en", "s"), (4, rows[4][1], "en", "s")]
+    rows += [(100, rows[4][1].upper(), "en", "s"), (101, " ".join(rng.choices(WORDS["fr"].split(), k=40)) + " password = hunter22secret", "fr", "s"), (105, rows[5][1] + " la fin", "fr", "s"), (102, "12345 --- !!!", "en", "s"), (103, None, "en", "s"), (104, "", None, None), (None, "the fox without an id", "en", "s"), (4, rows[4][1], "en", "s")]
     return spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], SCHEMA).repartition(3)
 
 
@@ -35,7 +35,8 @@ def test_each_stage_takes_effect_and_keeps_the_columns(spark):
     kept = {r["id"] for r in exact_dedup.content_sort_dedup(language).filter("kept").collect()}
     assert ids(exact) == kept and 100 not in kept and 4 in kept
     assert exact.filter("doc_id = 4").count() == 1
-    assert ids(near) == near_roots(exact) and 101 in ids(near)
+    assert ids(near) == near_roots(exact)
+    assert 101 in ids(near) and 105 in ids(exact) - ids(near)
     assert ids(secrets) == ids(near)
     for r in secrets.collect():
         assert "hunter22" not in r["text"] and r["n_chars"] == len(r["text"])
