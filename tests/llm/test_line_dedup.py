@@ -47,6 +47,36 @@ def test_runs_are_compacted_by_level(spark):
     assert len(keys) == len(set(keys))
 
 
+def test_a_store_is_opened_again_and_who_came_first_owns_a_line(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    first, second = {10: "a shared line of text\nown line of ten", 11: "a shared line of text"}, {3: "a shared line of text\na new line of text", 12: "a new line of text\nshort", 10: "own line of ten"}
+    assert found(spark, first, batches=2, store=m.LineStore(spark, folder=folder)) == expected(first)
+    names = set(n for s, n in m._tables)
+    for name in names:  # another driver's catalogue knows none of the runs
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    store = m.LineStore(spark, folder=folder)
+    assert sum(len(level) for level in store.levels) >= 1 and store.buckets
+    assert found(spark, second, batches=2, store=store) == {3: ("a new line of text", 2, 1), 12: ("short", 2, 1), 10: ("", 1, 1)}
+    keys = [r for run in m.LineStore(spark, folder=folder).runs() for r in run.select("h1", "h2").collect()]
+    assert len(keys) == len(set(keys)) == 3
+
+
+def test_repeated_ids_are_one_document(spark):
+    df = spark.createDataFrame([(1, "a line of some length"), (1, "a line of some length\nx"), (2, "a line of some length"), (1, "a line of some length")], "doc_id long, text string")
+    assert sorted((r["id"], r["kept"], r["n_dropped"]) for r in m.line_dedup(df).collect()) == [(1, "a line of some length", 0), (1, "a line of some length", 0), (1, "a line of some length\nx", 0), (2, "", 1)]
+
+
+def test_batches_grow_with_the_logarithm_of_the_input(spark, monkeypatch):
+    df = spark.range(1000)
+    assert m.batch_count(df) == m.BATCHES
+    monkeypatch.setattr(m, "DOUBLED_BYTES", 1000)
+    assert m.BATCHES < m.batch_count(df) <= m.BATCHES + 4
+    monkeypatch.setattr(m, "BUCKET_BYTES", 10)
+    store = m.LineStore(spark)
+    store.size_for(1001)
+    assert store.buckets == max(101, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def test_null_id_and_empty_table(spark):
     texts = {None: "a line of some length\nx", 1: "a line of some length", 2: "a line of some length\ny"}
     assert found(spark, texts) == expected(texts)

@@ -48,18 +48,24 @@ def _remove_all() -> None:
             return
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage and survives lost
     executors, because the folder is shared by all of them. Removed when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _folders.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
 
 
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of a table of ``materialise``."""
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    return p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table of ``materialise`` that no result needs any more."""
     entry = (df.sparkSession, df.written_at)

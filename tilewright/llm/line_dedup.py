@@ -11,15 +11,18 @@ from __future__ import annotations
 
 import atexit
 import functools
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, documents, materialise
+from ._common import _remove, ascii_lower, discard, documents, materialise, written_bytes
 
-#: Batches that the whole table is added in, and runs of a level that are compacted into one.
+#: Fewest batches that a whole table is added in, and runs of a level that are compacted into one.
 BATCHES, FAN_IN = 3, 2
+#: Bytes of line hashes for each bucket of a run, and bytes of input that take one more batch each time they double.
+BUCKET_BYTES, DOUBLED_BYTES = 64 << 20, 1 << 30
 #: Code points that a line's key needs to take part.
 MIN_KEY = 10
 BLANKS = " \t\n\x0b\x0c\r"
@@ -37,29 +40,67 @@ def _drop_all() -> None:
 
 
 class LineStore:
-    """Levels of sorted runs in the session's warehouse, each run bucketed by hash."""
+    """Levels of sorted runs, each run bucketed by hash.
 
-    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN):
-        self.spark, self.fan_in = spark, fan_in
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Without ``folder`` the runs are tables of the warehouse that go when the driver ends. With it, runs and a manifest of them are kept
+    in that folder (shared storage), and a store that a later driver opens there goes on from the last whole manifest: a run that
+    was written without its manifest does not count, and merged runs go only after the manifest that no longer names them."""
+
+    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN, folder: str | None = None):
+        self.spark, self.fan_in, self.folder = spark, fan_in, folder and folder.rstrip("/")
+        self.buckets: int | None = None
         self.levels: list[list[str]] = []
+        self.version = 0
+        if self.folder:
+            self._open()
+
+    def _open(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest-*/_SUCCESS")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+        versions = [int(f.getPath().getParent().getName().rpartition("-")[2]) for f in found]
+        if not versions:
+            return
+        self.version = max(versions)
+        kept = json.loads(self.spark.read.text(f"{self.folder}/manifest-{self.version}").first()["value"])
+        self.buckets, self.levels = kept["buckets"], kept["levels"]
+        for name in (name for level in self.levels for name in level):
+            _tables.append((self.spark, name))
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} (h1 BIGINT, h2 BIGINT, owner BIGINT) USING parquet "
+                f"CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'"
+            )
+
+    def _commit(self) -> None:
+        if self.folder:
+            kept = json.dumps({"buckets": self.buckets, "levels": self.levels})
+            self.spark.createDataFrame([(kept,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/manifest-{self.version + 1}")
+            self.version += 1
+
+    def size_for(self, n_bytes: int) -> None:
+        """Buckets of a new store, by the bytes of the first hashes; those of an opened store stay as they are."""
+        self.buckets = self.buckets or max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         _tables.append((self.spark, name))
-        (rows.repartition(self.buckets, "h1", "h2").write.format("parquet").option("compression", "zstd")
-            .bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name))
+        out = rows.select("h1", "h2", "owner").repartition(self.buckets, "h1", "h2").write.format("parquet").option("compression", "zstd")
+        if self.folder:
+            out = out.option("path", f"{self.folder}/{name}")
+        out.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         _tables.remove((self.spark, name))
+        if self.folder:
+            _remove(self.spark, f"{self.folder}/{name}")
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
     def add(self, keys: DataFrame) -> DataFrame:
         """``keys``: h1, h2, owner, one row for each hash. Returns the new run: those that no earlier run holds."""
+        self.size_for(0)
         for run in self.runs():
             keys = keys.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         name = self._write(keys)
@@ -67,6 +108,7 @@ class LineStore:
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(name)
+        self._commit()
         return fresh
 
     def compact(self) -> None:
@@ -78,6 +120,7 @@ class LineStore:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k + 1].append(merged)
+                self._commit()
                 for n in names:
                     self._drop(n)
 
@@ -105,28 +148,39 @@ def dropped_lines(lines: DataFrame, fresh: DataFrame) -> DataFrame:
     return lines.join(owned, ["h1", "h2", "id"], "left_anti")
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, store: LineStore | None = None) -> DataFrame:
+def batch_count(rows: DataFrame) -> int:
+    """Grows with the logarithm of the input: every batch reads all runs before it, so batches of one size would make the work quadratic.
+    The bytes are the plan's estimate, and as many as none where it has none; they decide the cost only."""
+    n_bytes = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return BATCHES + (n_bytes // DOUBLED_BYTES).bit_length() if n_bytes < 1 << 60 else BATCHES
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int | None = None, store: LineStore | None = None) -> DataFrame:
     """``id, kept, n_lines, n_dropped``: each text without the lines that a document of smaller id holds.
 
-    Null and empty texts are one empty line. Lines whose key is shorter than ten code points always stay, as do lines
-    repeated only within their document. Rows with a null id keep all lines and own none. Rows that repeat an id count as one
-    document. An empty table gives an empty result. Columns other than the two named are not read."""
+    Texts are read twice, whatever the number of batches: one pass deals the hashes of all lines by batch, one takes lines out. Null and
+    empty texts are one empty line. Lines whose key is shorter than ten code points always stay, as do lines repeated only within their
+    document. Rows with a null id keep all lines and own none. Rows that repeat an id count as one document. An empty table gives an
+    empty result. Columns other than the two named are not read.
+
+    With a ``store`` that earlier calls have filled, who came first owns a line: documents lose what the store holds, also if their ids are
+    smaller, and a document that is added again is a copy of itself."""
     spark = df.sparkSession
     store = store or LineStore(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    cuts = rows.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000).alias("cuts")).first()["cuts"] or []
-    bounds = [None, *sorted(set(cuts)), None]
+    batches = batches or batch_count(rows)
+    cuts = rows.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000).alias("cuts")).first()["cuts"] if batches > 1 else None
+    cuts = sorted(set(cuts or []))
+    batch = functools.reduce(lambda a, c: a + (F.col("id") > c).cast("int"), cuts, F.lit(0))
+    dealt = materialise(line_hashes(rows).withColumn("batch", batch), "lines", "batch")
+    store.size_for(written_bytes(dealt) // (len(cuts) + 1))
     dropped = []
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        batch = rows
-        if low is not None:
-            batch = batch.filter(F.col("id") > low)
-        if high is not None:
-            batch = batch.filter(F.col("id") <= high)
-        lines = materialise(line_hashes(batch), "lines")
+    for k in range(len(cuts) + 1):
+        lines = dealt.filter(F.col("batch") == k).drop("batch")
         fresh = store.add(lines.groupBy("h1", "h2").agg(F.min("id").alias("owner")))
         dropped.append(materialise(dropped_lines(lines, fresh).select("id", "text_hash", "pos"), "dropped-lines"))
         store.compact()
+    discard(dealt)
     at = functools.reduce(DataFrame.unionByName, dropped)
     # positions as sparse 64-bit words: looking a line up does not walk all dropped lines of its text
     words = at.groupBy("id", "text_hash", F.expr("pos div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits"))
