@@ -63,3 +63,36 @@ def test_held_out_accuracy_on_the_rules_own_urls(spark):
     test = rows.filter("id % 2 = 1").toPandas()
     p = m.block_probability(model, m.lexical(test["url"].tolist(), test["host"].tolist(), test["path"].tolist(), model.suffixes))
     assert np.mean((p > 0.5) == (test["verdict"] == "block").to_numpy()) > 0.9
+
+
+def test_a_rows_own_label_is_not_among_its_features():
+    rng = np.random.default_rng(3)
+    hosts = [f"h{rng.integers(0, 40)}.s{rng.integers(0, 9)}.net" for _ in range(300)]
+    urls, paths, y = [f"http://{h}/p/{k}" for k, h in enumerate(hosts)], [f"/p/{k}" for k in range(300)], rng.integers(0, 2, 300).astype(float)
+    x = m.out_of_fold(urls, hosts, paths, y)
+    for k in (0, 7, 299):
+        flipped = y.copy()
+        flipped[k] = 1 - y[k]
+        assert (m.out_of_fold(urls, hosts, paths, flipped)[k] == x[k]).all()
+    assert m.out_of_fold([], [], [], np.zeros(0)).shape == (0, len(m.FEATURES))
+
+
+def test_one_url_of_a_third_of_all_rows_is_one_row_of_the_sample(spark):
+    rows = labelled(400, 5)
+    seen = spark.createDataFrame(rows + [rows[0]] * 200 + [(None, None, None, "allow"), ("http://q.net/", "q.net", "/", None)], "url string, host string, path string, verdict string")
+    once = m.fit(spark.createDataFrame(rows + [(None, None, None, "allow")], "url string, host string, path string, verdict string"))
+    model = m.fit(seen)
+    assert model.suffixes == once.suffixes and (model.leaf == once.leaf).all() and max(n for _, n in model.suffixes.values()) <= 401
+
+
+def test_held_out_hosts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = m.judged(pages, "page_id", "url", m.RULES).withColumn("verdict", m.verdict_of(m.F.col("rule"), m.RULES)).filter("verdict is not null")
+    right = total = 0
+    for fold in range(5):
+        model = m.fit(rows.filter(f"pmod(crc32(host), 5) != {fold}"))
+        test = rows.filter(f"pmod(crc32(host), 5) = {fold}").toPandas()
+        p = m.block_probability(model, m.lexical(test["url"].tolist(), test["host"].tolist(), test["path"].tolist(), model.suffixes))
+        right, total = right + ((p > 0.5) == (test["verdict"] == "block").to_numpy()).sum(), total + len(test)
+    print("held-out hosts", right / total)
+    assert right / total > 0.9

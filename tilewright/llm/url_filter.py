@@ -1,13 +1,15 @@
 """URL filters: allow and block rules, and gradient-boosted trees on lexical features for what no rule judges.
 
-The trees learn from URLs that the rules label. They are fitted on the driver from at most ``SAMPLE`` labelled rows
-(picked by a hash of the URL); the model has a fixed size. Rules and parsing are column expressions, features and trees
-run over Arrow batches; there is no exchange.
+The trees learn from URLs that the rules label. They are fitted on the driver from at most ``SAMPLE`` different labelled URLs
+(those of the least hashes); the model has a fixed size. A training row's suffix statistics come from the other ``FOLDS - 1`` folds, so that
+its own label is not among its features. Rules and parsing are column expressions, features and trees run over Arrow batches; only
+the sample is exchanged.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import astuple, dataclass
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ._common import ascii_lower, small_batches
 
-#: Labelled rows that the trees are fitted on, at most about.
-SAMPLE = 20_000
+#: Different labelled URLs that the trees are fitted on, at most; parts of them that take their suffix statistics from the rest.
+SAMPLE, FOLDS = 20_000, 5
 #: Boosting: trees, depth, learning rate, histogram bins, and the prior rows that smooth statistics and leaves.
 TREES, DEPTH, RATE, BINS, PRIOR = 40, 3, 0.2, 32, 5.0
 FEATURES = (
@@ -101,6 +103,19 @@ def suffix_statistics(hosts: Sequence[str], paths: Sequence[str], blocked: np.nd
     return {"": (mean, 0.0)} | {s: ((hits[s] + PRIOR * mean) / (rows[s] + PRIOR), float(rows[s])) for s in rows}
 
 
+def out_of_fold(urls: Sequence[str], hosts: Sequence[str], paths: Sequence[str], blocked: np.ndarray) -> np.ndarray:
+    """(urls, FEATURES) for training: each row's statistics are of the rows of other folds. Rows of one host share a fold, dealt by the host's
+    CRC-32, so that a host's statistics do not come from its own rows either."""
+    fold = np.array([zlib.crc32((h or "").encode("utf-8", "replace")) % FOLDS for h in hosts], np.int64)
+    out = np.zeros((len(urls), len(FEATURES)))
+    for k in range(FOLDS):
+        own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        if len(own):
+            pick = lambda values, rows: [values[i] for i in rows]
+            out[own] = lexical(pick(urls, own), pick(hosts, own), pick(paths, own), suffix_statistics(pick(hosts, rest), pick(paths, rest), blocked[rest]))
+    return out
+
+
 def boost(x: np.ndarray, y: np.ndarray, suffixes: dict[str, tuple[float, float]]) -> Model:
     """Trees of logistic loss over quantile bins; each split is the best gain of second order over all features and bins."""
     n_nodes = (1 << DEPTH) - 1
@@ -164,14 +179,17 @@ def judged(df: DataFrame, id_col: str, url_col: str, rules: Sequence[tuple[str,
 
 
 def fit(labelled: DataFrame) -> Model:
-    """``labelled``: url, host, path, verdict. A bounded sample of its rows goes to the driver."""
-    n = labelled.count()
-    part = F.pmod(F.xxhash64("url", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))
-    rows = labelled.filter(part).select("url", "host", "path", (F.col("verdict") == "block").cast("double").alias("y")).limit(2 * SAMPLE).toPandas()
-    rows = rows.sort_values(["url", "y"])  # the order in which rows arrive does not matter
-    y = rows["y"].to_numpy(np.float64)
-    suffixes = suffix_statistics(rows["host"], rows["path"], y)
-    return boost(lexical(rows["url"].tolist(), rows["host"].tolist(), rows["path"].tolist(), suffixes), y, suffixes)
+    """``labelled``: url, host, path, verdict; rows without a verdict do not count. A bounded sample of its different URLs goes to the driver; a URL
+    with both verdicts counts as blocked."""
+    labelled = labelled.filter(F.col("verdict").isNotNull()).select("url", *(F.coalesce(c, F.lit("")).alias(c) for c in ("host", "path")), "verdict")
+    n = labelled.agg(F.approx_count_distinct("url")).first()[0]
+    at = F.xxhash64("url", F.lit("sample"))
+    # twice the share that would do, so that the limit decides; a URL of many rows is one row of the sample
+    part = labelled.filter(F.pmod(at, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE / max(n, 1))))
+    part = part.groupBy("url", "host", "path").agg(F.max((F.col("verdict") == "block").cast("double")).alias("y"))
+    rows = part.orderBy(at, "url").limit(SAMPLE).toPandas()
+    urls, hosts, paths, y = rows["url"].tolist(), rows["host"].tolist(), rows["path"].tolist(), rows["y"].to_numpy(np.float64)
+    return boost(out_of_fold(urls, hosts, paths, y), y, suffix_statistics(hosts, paths, y))
 
 
 def url_filter(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None) -> DataFrame:
@@ -186,7 +204,7 @@ def url_filter(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rul
     rows = judged(df, id_col, url_col, rules)
     if labelled is None:
         labelled = rows.withColumn("verdict", verdict_of(F.col("rule"), rules)).filter(F.col("verdict").isNotNull())
-    shared = spark.sparkContext.broadcast(astuple(fit(labelled)))  # TREES trees and the suffixes of at most 2 * SAMPLE rows
+    shared = spark.sparkContext.broadcast(astuple(fit(labelled)))  # TREES trees and the suffixes of at most SAMPLE rows
     scored = rows.mapInArrow(_scores(shared), "id long, host string, path string, rule string, score double")
     verdict = F.coalesce(verdict_of(F.col("rule"), rules), F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return scored.select("id", "host", "path", "rule", verdict.alias("verdict"), "score")
