@@ -43,3 +43,14 @@ def test_null_ids_repeated_rows_long_and_empty(spark):
     got = [r[:4] for r in found(spark, rows, "largest")]
     assert sorted(got, key=str) == sorted([(None, 5, 3, False), (5, 5, 3, True), (5, 5, 3, True), (None, None, 1, True), (7, 8, 2, False), (8, 8, 2, True), (9, 9, 1, True)], key=str)
     assert m.content_sort_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_runs_over_blocks_and_partitions_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK", 5)
+    monkeypatch.setattr(m, "PART_ROWS", 40)  # more partitions than the session's
+    rng = random.Random(6)
+    rows = [(rng.choice([None, i]), rng.choice(["", "same text", "Same Text", f"t{i % 9}"])) for i in range(600)]
+    for keep, pick in (("largest", max), ("smallest", min)):
+        got = found(spark, rows, keep)
+        assert sorted(r[:3] + r[4:] for r in map(tuple, got) if r[0] is not None) == sorted(r[:3] + r[4:] for r in expected(rows, pick) if r[0] is not None)
+        assert len(got) == len(rows) and sum(r[0] is None for r in got) == sum(i is None for i, _ in rows)

@@ -10,6 +10,7 @@ there are at most a few of them for each partition.
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,6 +21,8 @@ from ._common import ascii_lower, documents, materialise, small_batches
 
 #: Characters of the normalised text that the splitters hold.
 PREFIX = 24
+#: Rows that a partition takes where the session's shuffle partitions would take more, and rows of a batch that tasks give out.
+PART_ROWS, BLOCK = 1 << 18, 4096
 _RUNS = "id long, sha string, run_id long, run_rows long, part int, run int, border string"
 
 
@@ -30,48 +33,54 @@ def normalised(text) -> F.Column:
 
 def _runs(keep_largest: bool):
     pick = max if keep_largest else min
+    schema = pa.schema([("id", pa.int64()), ("sha", pa.string()), ("run_id", pa.int64()), ("run_rows", pa.int64()), ("part", pa.int32()), ("run", pa.int32()), ("border", pa.string())])
 
     def scan(batches):
-        part, schema = TaskContext.get().partitionId(), pa.schema(
-            [("id", pa.int64()), ("sha", pa.string()), ("run_id", pa.int64()), ("run_rows", pa.int64()), ("part", pa.int32()), ("run", pa.int32()), ("border", pa.string())]
-        )
-        first_key, held, text, key, ids, run = None, [], None, None, [], 0
-
-        def closed(is_border: bool):
-            """One batch for the run that has ended; a border run carries its text once."""
-            real, n = [i for i in ids if i is not None], len(ids)
-            sha = hashlib.sha256(text).hexdigest()
-            return [ids, [sha] * n, [pick(real) if real else None] * n, [n] * n, [part] * n, [run] * n, [text.decode() if is_border else None] + [None] * (n - 1)]
-
-        def joined(parts):
-            return pa.RecordBatch.from_arrays([pa.array([x for p in parts for x in p[c]], f.type) for c, f in enumerate(schema)], schema=schema)
-
-        out, rows = [], 0
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for i, t, k in zip(batch.column(0).to_pylist(), texts, zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()), strict=True):
-                if k == key and t == text:
+        part, out, rows = TaskContext.get().partitionId(), [], 0
+
+        def flushed():
+            nonlocal out, rows
+            batch = pa.RecordBatch.from_arrays([pa.array([x for p in out for x in p[c]], f.type) for c, f in enumerate(schema)], schema=schema)
+            out, rows = [], 0
+            return batch
+
+        def closed(text, ids, nulls, run, is_border):
+            """The rows of a run that has ended, null ids first, in blocks; a border run carries its text once."""
+            nonlocal rows
+            sha, total = hashlib.sha256(text).hexdigest(), nulls + len(ids)
+            best, border = pick(ids) if ids else None, text.decode() if is_border else None
+            for at in range(0, total, BLOCK):
+                own = [None] * (min(nulls, at + BLOCK) - at) + ids[max(0, at - nulls) : max(0, at + BLOCK - nulls)].tolist()
+                n = len(own)
+                out.append([own, [sha] * n, [best] * n, [total] * n, [part] * n, [run] * n, [None if at else border] + [None] * (n - 1)])
+                rows += n
+                if rows >= BLOCK:
+                    yield flushed()
+
+        # a run's ids are 8 bytes each until it ends; runs under the key of the last row may go on in the next partition and are held until the key changes
+        first_key, held, text, key, ids, nulls, run = None, [], None, None, array("q"), 0, 0
+        for b in batches:
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            for i, t, k in zip(b.column(0).to_pylist(), texts, zip(b.column(2).to_pylist(), b.column(3).to_pylist()), strict=True):
+                if k != key or t != text:
+                    if text is not None:
+                        held.append((text, ids, nulls, run))
+                        if k != key:
+                            for r in held:
+                                yield from closed(*r, key == first_key)
+                            held = []
+                        run += 1
+                    first_key = k if first_key is None else first_key
+                    text, key, ids, nulls = t, k, array("q"), 0
+                if i is None:
+                    nulls += 1
+                else:
                     ids.append(i)
-                    continue
-                if text is not None:
-                    # runs under the key of the last row may go on in the next partition: held until the key changes
-                    held.append((text, ids, run, key == first_key))
-                    if k != key:
-                        for text, ids, run, b in held:  # noqa: B020
-                            out.append(closed(b))
-                            rows += len(ids)
-                        held = []
-                    run += 1
-                first_key = k if first_key is None else first_key
-                text, key, ids = t, k, [i]
-            if rows >= 4096:
-                yield joined(out)
-                out, rows = [], 0
         if text is not None:
-            for text, ids, run, _ in [*held, (text, ids, run, True)]:
-                out.append(closed(True))
+            for r in [*held, (text, ids, nulls, run)]:
+                yield from closed(*r, True)
         if out:
-            yield joined(out)
+            yield flushed()
 
     return scan
 
@@ -83,12 +92,17 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     part in a group, but is never the one that stays unless the group has no other (then ``keep_id`` is null and all of its
     rows are kept). Rows that repeat the id that stays are all kept. An empty table gives an empty result. Columns other
     than the two named are not read, so their names cannot clash."""
-    small_batches(df.sparkSession)
+    spark = df.sparkSession
+    small_batches(spark)
     text = (normalise or normalised)(F.col(text_col))
     rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("norm"))
     rows = rows.select("id", "norm", F.substring("norm", 1, PREFIX).alias("lead"), F.xxhash64("norm").alias("hash"))
     order = ["lead", "hash", "norm", "id"]
-    placed = rows.repartitionByRange("lead", "hash", "id").sortWithinPartitions(*order)
+    by = ("lead", "hash", "id")
+    # counting reads no texts; the session's own number is left to the planner, which may join small partitions
+    many = -(-df.count() // PART_ROWS)
+    cut = rows.repartitionByRange(many, *by) if many > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartitionByRange(*by)
+    placed = cut.sortWithinPartitions(*order)
     runs = materialise(placed.mapInArrow(_runs(keep == "largest"), _RUNS), "exact-runs")
     best = (F.max if keep == "largest" else F.min)("run_id")
     # a few runs for each partition, whatever the number of documents
