@@ -96,3 +96,16 @@ def test_held_out_hosts(spark):
         right, total = right + ((p > 0.5) == (test["verdict"] == "block").to_numpy()).sum(), total + len(test)
     print("held-out hosts", right / total)
     assert right / total > 0.9
+
+
+def test_what_the_driver_gets_has_a_bound_whatever_the_urls(spark):
+    rows = [(f"http://{'h' * 50_000}{i}.net/{'p' * 50_000}/", "h" * 50_000 + f"{i}.{'n' * 500}{i % 2}", "/" + "p" * 50_000 + "/", "block" if i % 2 else "allow") for i in range(40)]
+    model = m.fit(spark.createDataFrame(rows, "url string, host string, path string, verdict string"))
+    assert max(map(len, model.suffixes)) <= m.KEY_MOST and {n for s, (_, n) in model.suffixes.items() if s} == {1.0, 20.0}
+
+
+def test_the_sample_is_the_urls_of_the_least_hashes(spark, monkeypatch):
+    monkeypatch.setattr(m, "SAMPLE", 50)
+    df = spark.createDataFrame(labelled(400, 5), "url string, host string, path string, verdict string")
+    assert m.fit(df).suffixes == m.fit(df.repartition(9)).suffixes
+    assert max(n for _, n in m.fit(df).suffixes.values()) == 50  # every host ends in net

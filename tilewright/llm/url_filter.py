@@ -8,6 +8,7 @@ the sample is exchanged.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -31,6 +32,9 @@ FEATURES = (
     "suffix_rate", "suffix_rows", "domain_rate", "domain_rows", "section_rate", "section_rows",
 )
 
+#: Features without statistics, which come first; characters of a suffix key that is kept as it is.
+PLAIN, KEY_MOST = 13, 128
+
 # The rules of the registered query, as (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -69,35 +73,50 @@ def verdict_of(rule: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return F.create_map(*[F.lit(x) for verdict, text in rules for x in (text, verdict)])[rule]
 
 
-def lexical(urls: Sequence[str | None], hosts: Sequence[str], paths: Sequence[str], suffixes: dict[str, tuple[float, float]]) -> np.ndarray:
-    """(urls, FEATURES)."""
-    out = np.zeros((len(urls), len(FEATURES)))
+def plain(urls: Sequence[str | None], hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
+    """(urls, PLAIN): the features that need no statistics."""
+    out = np.zeros((len(urls), PLAIN))
     for k, (url, host, path) in enumerate(zip(urls, hosts, paths, strict=True)):
         url = url or ""
         n = max(1, len(url))
         query = url.partition("#")[0].partition("?")[2]
-        known = [suffixes.get(key, suffixes[""]) for key in suffix_keys(host, path)]
         out[k] = (
             len(url), len(host), len(path), path.count("/"), sum(c.isdigit() for c in url) / n,
             -sum(c / n * math.log2(c / n) for c in Counter(url).values()), (query.count("&") + 1) if query else 0, host.count(".") + bool(host),
             url.count("-"), max(map(len, path.split("/"))), sum(url.count(v) for v in "aeiou") / n, "#" in url, url.startswith("https:"),
-            *(x for rate, rows in known for x in (rate, math.log1p(rows))),
         )
     return out
 
 
+def with_statistics(x: np.ndarray, keys: Sequence[Sequence[str]], suffixes: dict[str, tuple[float, float]]) -> np.ndarray:
+    """(rows, FEATURES) from (rows, PLAIN) and each row's suffix keys."""
+    known = [[v for key in own for rate, rows in (suffixes.get(key, suffixes[""]),) for v in (rate, math.log1p(rows))] for own in keys]
+    return np.hstack([x, np.array(known, np.float64).reshape(len(x), len(FEATURES) - PLAIN)])
+
+
+def lexical(urls: Sequence[str | None], hosts: Sequence[str], paths: Sequence[str], suffixes: dict[str, tuple[float, float]]) -> np.ndarray:
+    """(urls, FEATURES)."""
+    return with_statistics(plain(urls, hosts, paths), list(map(suffix_keys, hosts, paths)), suffixes)
+
+
 def suffix_keys(host: str, path: str) -> tuple[str, str, str]:
-    """What statistics are kept of: the last label, the last two, and the last label with the path's first segment."""
+    """What statistics are kept of: the last label, the last two, and the last label with the path's first segment. Keys of more than
+    ``KEY_MOST`` characters are told apart by their SHA-256, so that the sample and the model have a bound in bytes."""
     labels = host.split(".")
-    return labels[-1] + "/", ".".join(labels[-2:]), f"{labels[-1]}/{path.split('/')[1] if '/' in path else ''}/"
+    keys = labels[-1] + "/", ".".join(labels[-2:]), f"{labels[-1]}/{path.split('/')[1] if '/' in path else ''}/"
+    return tuple(k if len(k) <= KEY_MOST else hashlib.sha256(k.encode("utf-8", "replace")).hexdigest() for k in keys)
 
 
 def suffix_statistics(hosts: Sequence[str], paths: Sequence[str], blocked: np.ndarray) -> dict[str, tuple[float, float]]:
+    return _statistics(list(map(suffix_keys, hosts, paths)), blocked)
+
+
+def _statistics(keys: Sequence[Sequence[str]], blocked: np.ndarray) -> dict[str, tuple[float, float]]:
     """Of each suffix: its smoothed rate of blocked rows and its rows; "" for what was not seen."""
     mean = float(blocked.mean()) if len(blocked) else 0.5
     rows, hits = Counter(), Counter()
-    for host, path, b in zip(hosts, paths, blocked, strict=True):
-        for key in suffix_keys(host, path):
+    for own, b in zip(keys, blocked, strict=True):
+        for key in own:
             rows[key] += 1
             hits[key] += float(b)
     return {"": (mean, 0.0)} | {s: ((hits[s] + PRIOR * mean) / (rows[s] + PRIOR), float(rows[s])) for s in rows}
@@ -106,16 +125,31 @@ def suffix_statistics(hosts: Sequence[str], paths: Sequence[str], blocked: np.nd
 def out_of_fold(urls: Sequence[str], hosts: Sequence[str], paths: Sequence[str], blocked: np.ndarray) -> np.ndarray:
     """(urls, FEATURES) for training: each row's statistics are of the rows of other folds. Rows of one host share a fold, dealt by the host's
     CRC-32, so that a host's statistics do not come from its own rows either."""
-    fold = np.array([zlib.crc32((h or "").encode("utf-8", "replace")) % FOLDS for h in hosts], np.int64)
-    out = np.zeros((len(urls), len(FEATURES)))
+    return _out_of_fold(plain(urls, hosts, paths), list(map(suffix_keys, hosts, paths)), np.array([fold_of(h) for h in hosts], np.int64), blocked)
+
+
+def fold_of(host: str | None) -> int:
+    return zlib.crc32((host or "").encode("utf-8", "replace")) % FOLDS
+
+
+def _out_of_fold(x: np.ndarray, keys: Sequence[Sequence[str]], fold: np.ndarray, blocked: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), len(FEATURES)))
     for k in range(FOLDS):
         own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
         if len(own):
-            pick = lambda values, rows: [values[i] for i in rows]
-            out[own] = lexical(pick(urls, own), pick(hosts, own), pick(paths, own), suffix_statistics(pick(hosts, rest), pick(paths, rest), blocked[rest]))
+            out[own] = with_statistics(x[own], [keys[i] for i in own], _statistics([keys[i] for i in rest], blocked[rest]))
     return out
 
 
+def _sampled(batches):
+    """What the fit needs of each URL of the sample, of bounded size whatever the URL's."""
+    for b in batches:
+        urls, hosts, paths = (b.column(c).to_pylist() for c in range(3))
+        x, keys = plain(urls, hosts, paths), list(map(suffix_keys, hosts, paths))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(x), pa.list_(pa.float64())), pa.array(map(list, keys), pa.list_(pa.string())), pa.array([fold_of(h) for h in hosts], pa.int32()), b.column(3)], ["x", "keys", "fold", "y"])
+
+
 def boost(x: np.ndarray, y: np.ndarray, suffixes: dict[str, tuple[float, float]]) -> Model:
     """Trees of logistic loss over quantile bins; each split is the best gain of second order over all features and bins."""
     n_nodes = (1 << DEPTH) - 1
@@ -179,17 +213,26 @@ def judged(df: DataFrame, id_col: str, url_col: str, rules: Sequence[tuple[str,
 
 
 def fit(labelled: DataFrame) -> Model:
-    """``labelled``: url, host, path, verdict; rows without a verdict do not count. A bounded sample of its different URLs goes to the driver; a URL
-    with both verdicts counts as blocked."""
+    """``labelled``: url, host, path, verdict; rows without a verdict do not count. The features, suffix keys and folds of a bounded sample of its
+    different URLs go to the driver, not the URLs, whose length has no bound; a URL with both verdicts counts as blocked."""
+    small_batches(labelled.sparkSession)
     labelled = labelled.filter(F.col("verdict").isNotNull()).select("url", *(F.coalesce(c, F.lit("")).alias(c) for c in ("host", "path")), "verdict")
     n = labelled.agg(F.approx_count_distinct("url")).first()[0]
     at = F.xxhash64("url", F.lit("sample"))
     # twice the share that would do, so that the limit decides; a URL of many rows is one row of the sample
     part = labelled.filter(F.pmod(at, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE / max(n, 1))))
     part = part.groupBy("url", "host", "path").agg(F.max((F.col("verdict") == "block").cast("double")).alias("y"))
-    rows = part.orderBy(at, "url").limit(SAMPLE).toPandas()
-    urls, hosts, paths, y = rows["url"].tolist(), rows["host"].tolist(), rows["path"].tolist(), rows["y"].to_numpy(np.float64)
-    return boost(out_of_fold(urls, hosts, paths, y), y, suffix_statistics(hosts, paths, y))
+    # the key of the SAMPLE-th URL in the order of (hash, SHA-256); the URLs up to it are the sample
+    order = [at.alias("at"), F.sha2(F.coalesce("url", F.lit("")), 256).alias("sha")]
+    last = part.select(*order).orderBy("at", "sha").limit(SAMPLE).agg(F.max(F.struct("at", "sha")).alias("last")).first()["last"]
+    if last is None:
+        return boost(np.zeros((0, len(FEATURES))), np.zeros(0), _statistics([], np.zeros(0)))
+    least = part.select("url", "host", "path", "y", *order).filter((F.col("at") < last["at"]) | (F.col("at") == last["at"]) & (F.col("sha") <= last["sha"]))
+    found = least.select("url", "host", "path", "y").mapInArrow(_sampled, "x array<double>, keys array<string>, fold int, y double").collect()
+    # in an order of their own, so that the sums do not depend on who came first
+    found.sort(key=lambda r: (r["keys"], r["x"], r["y"]))
+    x, keys, y = np.array([r["x"] for r in found], np.float64).reshape(-1, PLAIN), [r["keys"] for r in found], np.array([r["y"] for r in found])
+    return boost(_out_of_fold(x, keys, np.array([r["fold"] for r in found], np.int64), y), y, _statistics(keys, y))
 
 
 def url_filter(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None) -> DataFrame:
