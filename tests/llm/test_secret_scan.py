@@ -108,3 +108,16 @@ def test_pipeline_masks_random_keys_of_narrow_alphabets(spark):
     masked = Counter((r["alphabet"], r["size"]) for r in out if "[REDACTED]" in r["text"])
     assert all(masked[a, size] >= 47 for a in alphabets for size in (24, 32, 40, 64)), masked
     assert masked["", 0] == 0
+
+
+def test_entropy_does_not_drift_over_long_strings(spark):
+    rng = random.Random(8)
+    bits = [w / 2**m.UNIT for w in m.weights()]
+    assert all(abs(b - (c * math.log2(c) if c else 0)) < 1e-11 for c, b in enumerate(bits))
+    # the same symbols at the end of a short string and of a very long one: no window reaches the threshold before them
+    tail = "".join(rng.choices("0123456789abcdef", k=40))
+    texts = {1: "a" * 30 + tail, 2: "ab" * 10_000 + "a" * 30 + tail}
+    rows = {r["id"]: r["found"] for r in m.secret_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    ends = {i: [(x["start"] - len(t), x["stop"] - len(t), x["kind"]) for x in rows[i] if x["kind"].startswith("entropy")] for i, t in texts.items()}
+    assert ends[1] == ends[2] and ends[1]
+    assert [tuple(x) for x in rows[2]] == sorted(base(texts[2]) + entropy(texts[2]))

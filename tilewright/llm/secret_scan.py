@@ -2,7 +2,8 @@
 
 Fixed patterns give the base spans. Beyond them, every candidate string is scanned with a sliding window for each
 character class: the window's symbol counts, and the sum of c*log2(c) over them, change by the one symbol that enters and
-the one that leaves, and the Shannon entropy is log2(window) - sum / window. Windows at or over the class' threshold make
+the one that leaves, and the Shannon entropy is log2(window) - sum / window. The sum is in whole units of 2^-UNIT bits, so that
+it is the same however long the string before the window is. Windows at or over the class' threshold make
 a span, unless an allow-list pattern fits the candidate. Everything is local to a row: no exchange.
 """
 
@@ -29,6 +30,8 @@ BASE_KINDS = ("assign", "access", "hex")
 
 #: Candidate strings, the window in characters, and each class: name, alphabet, least entropy in bits.
 CANDIDATE, WINDOW = "[A-Za-z0-9+/_=-]{20,}", 20
+#: Binary digits after the point of c*log2(c).
+UNIT = 40
 CLASSES = (
     ("entropy_hex", "0123456789abcdef", 3.0),
     ("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.9),
@@ -72,12 +75,19 @@ def _steps(matches: Column, gaps: Column) -> Column:
     return F.zip_with(gaps, matches, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
 
 
+def weights() -> list[int]:
+    """c*log2(c) of every count that a window can reach while a symbol enters before another leaves."""
+    return [round(c * math.log2(c) * 2**UNIT) if c else 0 for c in range(WINDOW + 2)]
+
+
 def _entropy(candidate: Column, alphabet: str, least: float) -> Column:
     """``first, last``: where in the candidate the first window at or over ``least`` starts and the last one stops; -1 for none."""
-    weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
+    weight = F.array(*[F.lit(w) for w in weights()])
+    most = math.floor((math.log2(WINDOW) - least) * WINDOW * 2**UNIT)  # a window of at most this sum has the entropy
     codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c))
     zero = F.array_repeat(F.lit(0), len(alphabet))
-    start = F.struct(zero.alias("n"), F.lit(0.0).alias("sum"), F.lit(0).alias("run"), F.lit(0).alias("i"), _none("array<int>").alias("codes"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    nothing = F.lit(0).cast("long")
+    start = F.struct(zero.alias("n"), nothing.alias("sum"), F.lit(0).alias("run"), F.lit(0).alias("i"), _none("array<int>").alias("codes"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
 
     def change(n, code, by):
         return F.transform(n, lambda v, j: F.when(j == code - 1, v + by).otherwise(v))
@@ -88,18 +98,18 @@ def _entropy(candidate: Column, alphabet: str, least: float) -> Column:
         oldest = F.get(a["codes"], F.lit(0))
         left = F.when(full, change(a["n"], oldest, -1)).otherwise(a["n"])
         had = F.get(a["n"], oldest - 1)
-        less = F.when(full, F.get(weight, had) - F.get(weight, had - 1)).otherwise(F.lit(0.0))
+        less = F.when(full, F.get(weight, had) - F.get(weight, had - 1)).otherwise(nothing)
         same = F.when(full & (oldest == code), 1).otherwise(0)
         has = F.get(a["n"], code - 1) - same
         total = a["sum"] - less + F.get(weight, has + 1) - F.get(weight, has)
         run = F.when(full, F.lit(WINDOW)).otherwise(a["run"] + 1)
-        hot = (run == WINDOW) & (math.log2(WINDOW) - total / WINDOW >= least)
+        hot = (run == WINDOW) & (total <= most)
         inside = F.struct(
             change(left, code, 1).alias("n"), total.alias("sum"), run.alias("run"), (a["i"] + 1).alias("i"),
             F.array_append(F.when(full, F.slice(a["codes"], 2, WINDOW)).otherwise(a["codes"]), code).alias("codes"),
             F.when(hot & (a["first"] < 0), a["i"] + 1 - WINDOW).otherwise(a["first"]).alias("first"), F.when(hot, a["i"] + 1).otherwise(a["last"]).alias("last"),
         )
-        outside = F.struct(zero.alias("n"), F.lit(0.0).alias("sum"), F.lit(0).alias("run"), (a["i"] + 1).alias("i"), _none("array<int>").alias("codes"), a["first"].alias("first"), a["last"].alias("last"))
+        outside = F.struct(zero.alias("n"), nothing.alias("sum"), F.lit(0).alias("run"), (a["i"] + 1).alias("i"), _none("array<int>").alias("codes"), a["first"].alias("first"), a["last"].alias("last"))
         return F.when(code > 0, inside).otherwise(outside)
 
     return F.aggregate(codes, start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
