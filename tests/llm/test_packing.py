@@ -78,3 +78,12 @@ def test_registered_query(spark):
         ids = np.append(e(texts[r["doc_id"]] or ""), 0).astype("<u4")
         assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) and r["doc_tokens"] == len(ids)
     assert sum(r["length"] for r in found) == sum(len(e(t or "")) + 1 for t in texts.values())
+
+
+def test_very_long_lines_of_ends_and_bounds_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(m, "PART_BYTES", 20_000)
+    monkeypatch.setattr(m, "MOST_SAMPLES", 10)
+    texts = {i: f"text {i} " * (i % 50) for i in range(200)} | {500: "\n" * 600_000, 501: "x" * 300_000}
+    pieces = m.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), FOLDER)
+    assert pieces.rdd.getNumPartitions() > 30
+    check(pieces.collect(), texts)

@@ -26,8 +26,10 @@ from ._common import documents, materialise, per_worker, small_batches
 BUCKETS, DIMS, BITS = 1024, 3, 10
 #: Tokens of a sequence, and the id that ends a document.
 MAX_TOKENS, END_ID = 1024, 0
-#: Sampled points for each partition from which the splitters are taken.
-SAMPLES = 200
+#: Bytes of text that a partition takes where the session's shuffle partitions would take more.
+PART_BYTES = 64 << 20
+#: Sampled points from which the splitters are taken: for each partition, and in all.
+SAMPLES, MOST_SAMPLES = 200, 1 << 20
 VOCABULARY = "byte_bpe_50k"
 
 
@@ -117,8 +119,10 @@ class Encoder:
         if "<|endoftext|>" not in text:
             try:
                 return self.fast.encode_to_numpy(text)
-            except BaseException as e:  # noqa: BLE001  a panic of the native code is not an Exception
-                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+            except ValueError:  # the pattern's stack is full: hundreds of thousands of line ends in a row
+                pass
+            except BaseException as e:
+                if type(e).__name__ != "PanicException":  # the native code's panic is not an Exception and has no importable type
                     raise
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -186,23 +190,25 @@ def pack(df: DataFrame, vocabulary_folder: str, id_col: str = "doc_id", text_col
 
     Null and empty texts are the end id alone. Every id of every row lies in one piece; equal rows are packed each for
     itself; a null id is packed like any other and sorts first; equal keys are ordered by id. An empty table gives an empty result.
-    Other columns are not read. ``partitions`` defaults to the session's shuffle partitions."""
+    Other columns are not read. ``partitions`` defaults to the session's shuffle partitions, or to as many as ``PART_BYTES`` each
+    make if that is more."""
     spark = df.sparkSession
     small_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dims = [f"p{d}" for d in range(DIMS)]
     points = materialise(rows.mapInArrow(_points, "id long, size long, " + ", ".join(f"{d} double" for d in dims)), "points")
-    n, *stats = points.agg(F.count(F.lit(1)), *(F.avg(d) for d in dims), *(F.stddev_pop(d) for d in dims)).first()
+    n, size, *stats = points.agg(F.count(F.lit(1)), F.sum("size"), *(F.avg(d) for d in dims), *(F.stddev_pop(d) for d in dims)).first()
     mean, deviation = [v or 0.0 for v in stats[:DIMS]], [v or 0.0 for v in stats[DIMS:]]
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a bounded number of points for each partition; only the balance depends on them
-    part = F.pmod(F.xxhash64("id", *dims), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLES * partitions / max(n, 1)))
+    partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // PART_BYTES))
+    # a bounded number of points; only the balance depends on them
+    part = F.pmod(F.xxhash64("id", *dims), F.lit(1 << 30)) < int((1 << 30) * min(1.0, min(SAMPLES * partitions, MOST_SAMPLES) / max(n, 1)))
     sample = points.filter(part).toPandas()
     keys = keys_of(sample[dims].to_numpy(np.float64).reshape(-1, DIMS), mean, deviation)
-    placed = sorted(zip(keys.tolist(), sample["id"].fillna(-1).astype("int64").tolist(), sample["size"].tolist(), strict=True))
-    filled = np.cumsum([size + 64 for *_, size in placed])
-    cuts = np.searchsorted(filled, filled[-1] * np.arange(1, partitions) / partitions) if placed else []
-    shared = spark.sparkContext.broadcast(sorted({placed[c][:2] for c in cuts}))  # less than a pair of numbers for each partition
+    ids, sizes = sample["id"].fillna(-1).astype("int64").to_numpy(), sample["size"].to_numpy(np.int64)
+    order = np.lexsort((sizes, ids, keys))
+    filled = np.cumsum(sizes[order] + 64)
+    cuts = order[np.searchsorted(filled, filled[-1] * np.arange(1, partitions) / partitions)] if len(order) else order
+    shared = spark.sparkContext.broadcast(sorted(set(zip(keys[cuts].tolist(), ids[cuts].tolist(), strict=True))))  # less than a pair of numbers for each partition
     dealt = rows.mapInArrow(_dealt(mean, deviation, shared), "id long, text string, key long, part int")
     along = dealt.repartitionById(partitions, F.col("part")).sortWithinPartitions("key", "id")
     return along.select("id", "text").mapInArrow(_packed(vocabulary_folder, max_tokens), "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
