@@ -47,3 +47,18 @@ def test_many_languages_use_several_planes(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["id"]: r["lang_pred"] for r in m.predict(docs, m.fit_documents(docs)).collect()}
     assert sum(got[i] == lang for i, _, lang in rows) > 0.95 * len(rows)
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.limit(1).withColumn("text", m.F.repeat("text", 400)).withColumn("doc_id", m.F.lit(10**6).cast(docs.schema["doc_id"].dataType)))
+    model = m.fit_documents(docs)
+    whole = sorted(map(tuple, m.predict(docs, model).collect()))
+    texts = [f for r in docs.limit(40).collect() if (f := m.folded(r["text"]))]
+    rates = m.rates(model, texts)
+    for block in (1, 7, 1000):
+        monkeypatch.setattr(m, "BLOCK", block)
+        few = texts[:3] if block == 1 else texts
+        assert (m.rates(model, few) == rates[: len(few)]).all()
+    again = m.fit_documents(docs)
+    assert (again.slots == model.slots).all() and sorted(map(tuple, m.predict(docs, again).collect())) == whole

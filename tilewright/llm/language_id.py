@@ -25,6 +25,8 @@ from ._common import documents, small_batches
 SAMPLE_DOCS, GRAMS = 400, 6000
 #: Slots of the filter (a power of two) and slots of a gram.
 SLOT_BITS, PROBES = 18, 2
+#: Grams that are looked up or counted at a time: bounds memory for texts of any length.
+BLOCK = 1 << 20
 NO_LANGUAGE = "und"
 #: ASCII letters stay, other ASCII turns to blanks, other bytes stay.
 _BLANKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -59,15 +61,29 @@ def slots_of(g: np.ndarray) -> list[np.ndarray]:
     return [(g * m ^ (g * m) >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - SLOT_BITS) for m in _MULTIPLIERS[:PROBES]]
 
 
+def _blocks(texts: list[bytes]):
+    """The grams of texts, some ``BLOCK`` at a time."""
+    held, size = [], 0
+    for t in texts:
+        for at in range(0, len(t) - 3, BLOCK):
+            held.append(grams(t[at : at + BLOCK + 3]))
+            size += len(held[-1])
+            if size >= BLOCK:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def _count(batches):
-    """Gram counts of each language within a batch."""
+    """Gram counts of each language within a block of a batch."""
     for b in batches:
         by: dict[str, list[bytes]] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if (f := folded(text)) is not None:
                 by.setdefault(lang, []).append(f)
-        for lang, parts in by.items():
-            g, n = np.unique(np.concatenate([grams(p) for p in parts]), return_counts=True)
+        for lang, block in ((lang, block) for lang, parts in by.items() for block in _blocks(parts)):
+            g, n = np.unique(block, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
@@ -93,25 +109,25 @@ def fit(labelled: DataFrame) -> Model:
 
 def rates(model: Model, texts: list[bytes]) -> np.ndarray:
     """(texts, languages): the share of each text's grams that each language holds, corrected for false positives."""
-    lengths = np.array([len(t) for t in texts])
+    lengths, data = np.array([len(t) for t in texts]), b"".join(texts)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    g = grams(b"".join(texts))
-    n = lengths - 3
-    found = [slot for slot in slots_of(g)]
-    own = np.ones(len(g), bool)  # grams that reach into the next text do not count
-    for back in (1, 2, 3):
-        own[(starts[1:] - back)] = False
-    out = np.zeros((len(texts), len(model.languages)))
-    for plane in range(model.slots.shape[1]):
-        table = model.slots[:, plane]
-        small = table.astype(np.uint8) if len(model.languages) <= 8 else table
-        mask = small[found[0]]
-        for slot in found[1:]:
-            mask = mask & small[slot]
-        mask[~own] = 0
-        for k in range(plane * 64, min(len(model.languages), plane * 64 + 64)):
-            hits = np.add.reduceat(mask >> mask.dtype.type(k % 64) & mask.dtype.type(1), starts, dtype=np.int64)
-            out[:, k] = hits / n
+    across = np.concatenate([starts[1:] - back for back in (1, 2, 3)])  # grams that reach into the next text do not count
+    hits = np.zeros((len(texts), len(model.languages)), np.int64)
+    for at in range(0, len(data) - 3, BLOCK):
+        g = grams(data[at : at + BLOCK + 3])
+        first, last = np.searchsorted(starts, (at, at + len(g) - 1), "right") - 1
+        own, out_of = np.maximum(starts[first : last + 1] - at, 0), across[(across >= at) & (across < at + len(g))] - at
+        found = [slot for slot in slots_of(g)]
+        for plane in range(model.slots.shape[1]):
+            table = model.slots[:, plane]
+            small = table.astype(np.uint8) if len(model.languages) <= 8 else table
+            mask = small[found[0]]
+            for slot in found[1:]:
+                mask = mask & small[slot]
+            mask[out_of] = 0
+            for k in range(plane * 64, min(len(model.languages), plane * 64 + 64)):
+                hits[first : last + 1, k] += np.add.reduceat(mask >> mask.dtype.type(k % 64) & mask.dtype.type(1), own, dtype=np.int64)
+    out = hits / (lengths - 3)[:, None]
     false = model.false_rates
     return np.clip((out - false) / (1 - false), 0, 1)
 
