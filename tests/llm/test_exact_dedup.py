@@ -54,3 +54,24 @@ def test_runs_over_blocks_and_partitions_by_rows(spark, monkeypatch):
         got = found(spark, rows, keep)
         assert sorted(r[:3] + r[4:] for r in map(tuple, got) if r[0] is not None) == sorted(r[:3] + r[4:] for r in expected(rows, pick) if r[0] is not None)
         assert len(got) == len(rows) and sum(r[0] is None for r in got) == sum(i is None for i, _ in rows)
+
+
+def test_first_of_each_keeps_whole_rows(spark, monkeypatch):
+    monkeypatch.setattr(m, "PART_ROWS", 25)  # groups over many partitions
+    rng = random.Random(9)
+    hot = "A common TEXT " * 40
+    rows = [(rng.choice([None, i % 170, i]), rng.choice([hot, hot.lower(), "", None, f"t{rng.randint(0, 60)}", f"T{i}"]), f"r{i}", {"norm": i}) for i in range(500)]
+    rows += [(None, "nameless", "b", {"norm": 1}), (None, "Nameless", "a", {"norm": 2}), (3, "x" * 200_000, "long", {"norm": 3})]
+    df = spark.createDataFrame([(*r[:3], r[3]["norm"]) for r in rows], "doc_id long, text string, border string, part int").repartition(5)
+    got = [tuple(r) for r in m.first_of_each(df).collect()]
+    groups = defaultdict(list)
+    for i, t, a, b in rows:
+        groups[(t or "").translate(LOWER)].append((i, t, a, b["norm"]))
+    assert m.first_of_each(df).columns == df.columns and len(got) == len(groups)
+    for r in got:
+        own = groups[(r[1] or "").translate(LOWER)]
+        ids = [o[0] for o in own if o[0] is not None]
+        best = [o for o in own if o[0] == (min(ids) if ids else None)]
+        # nulls first, as columns sort
+        assert r == min(best, key=lambda o: (o[1] is not None, (o[1] or "").encode(), o[2], o[3]))
+    assert m.first_of_each(df.limit(0)).count() == 0

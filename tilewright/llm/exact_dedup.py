@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import ascii_lower, documents, materialise, small_batches
 
@@ -85,6 +86,65 @@ def _runs(keep_largest: bool):
     return scan
 
 
+def _dealt(rows: DataFrame, df: DataFrame, *by) -> DataFrame:
+    """``rows`` of ``df`` by range. Counting reads no texts; the session's own number is left to the planner, which may join small partitions."""
+    many = -(-df.count() // PART_ROWS)
+    return rows.repartitionByRange(many, *by) if many > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartitionByRange(*by)
+
+
+def _firsts(batches):
+    """Of each run of equal texts the first row. Runs under the partition's first and last key may belong to runs of other partitions
+    and carry their text; those of the key that was read last are held until it changes."""
+    part, run, first_key, key, text, held = TaskContext.get().partitionId(), 0, None, None, None, []
+
+    def rows(found, borders):
+        nonlocal run
+        n, run = len(borders), run + len(borders)
+        return pa.RecordBatch.from_arrays([*found, pa.array([part] * n, pa.int32()), pa.array(range(run - n, run), pa.int32()), pa.array(borders, pa.string())], ["row", "id", "part", "run", "border"])
+
+    def one_by_one(key):
+        return [rows(found, [text.decode() if is_border else None]) for found, text, is_border in ((*h, key is None or key == first_key) for h in held)]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys, starts, before = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)), [], key
+        first_key = keys[0] if first_key is None else first_key
+        for i, (t, k) in enumerate(zip(b.column(4).cast(pa.binary()).to_pylist(), keys, strict=True)):
+            if k != key or t != text:
+                starts.append((i, t, k))
+                key, text = k, t
+        if key != before:
+            yield from one_by_one(before)
+            held = []
+        done = [(i, t.decode() if k == first_key else None) for i, t, k in starts if k != key]
+        if done:
+            at = pa.array([i for i, _ in done], pa.int64())
+            yield rows([b.column(0).take(at), b.column(1).take(at)], [t for _, t in done])
+        held += [([b.column(0).slice(i, 1), b.column(1).slice(i, 1)], t) for i, t, k in starts if k == key]
+    yield from one_by_one(None)
+
+
+def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=None) -> DataFrame:
+    """Rows of ``df``, whole, of each group of equal normalised texts one: that of the smallest id; of rows that repeat this id the least.
+
+    Null text counts as empty. A null id stays only where its group has no other. An empty table gives an empty result. Other columns, whatever
+    their names, pass through. Whole rows move once and the dropped ones end where their neighbour is seen."""
+    small_batches(df.sparkSession)
+    norm = (normalise or normalised)(F.col("text"))
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.select("row", "id", F.substring(norm, 1, PREFIX).alias("lead"), F.xxhash64(norm).alias("hash"))
+    least = F.col("id").asc_nulls_last()
+    dealt = _dealt(rows, df, "lead", "hash", least).withColumn("text", F.col("row")[text_col])
+    placed = dealt.select("row", "id", "lead", "hash", norm.alias("norm")).sortWithinPartitions("lead", "hash", "norm", least, "row")
+    kinds = T.StructType([rows.schema["row"], *T.StructType.fromDDL("id long, part int, run int, border string")])
+    firsts = materialise(placed.mapInArrow(_firsts, kinds), "exact-firsts")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "part", "run")
+    # a few runs for each partition, whatever the number of documents
+    best = firsts.filter(F.col("border").isNotNull()).groupBy("border").agg(F.min(order).alias("b")).select("b.part", "b.run", F.lit(True).alias("best"))
+    return firsts.join(F.broadcast(best), ["part", "run"], "left").filter(F.col("border").isNull() | F.col("best")).select("row.*")
+
+
 def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=None) -> DataFrame:
     """Groups of equal normalised texts: ``id, keep_id, group_size, kept, text_sha256``, one row for each row of ``df``.
 
@@ -98,11 +158,7 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("norm"))
     rows = rows.select("id", "norm", F.substring("norm", 1, PREFIX).alias("lead"), F.xxhash64("norm").alias("hash"))
     order = ["lead", "hash", "norm", "id"]
-    by = ("lead", "hash", "id")
-    # counting reads no texts; the session's own number is left to the planner, which may join small partitions
-    many = -(-df.count() // PART_ROWS)
-    cut = rows.repartitionByRange(many, *by) if many > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartitionByRange(*by)
-    placed = cut.sortWithinPartitions(*order)
+    placed = _dealt(rows, df, "lead", "hash", "id").sortWithinPartitions(*order)
     runs = materialise(placed.mapInArrow(_runs(keep == "largest"), _RUNS), "exact-runs")
     best = (F.max if keep == "largest" else F.min)("run_id")
     # a few runs for each partition, whatever the number of documents
