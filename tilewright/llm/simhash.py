@@ -45,17 +45,19 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[last:], strict=False)], np.uint64)
 
 
-def fingerprint(text: bytes) -> int:
-    """Majority of each bit over the XXH64 of all word shingles; 0 without words."""
-    if not text.strip():
-        return 0
-    h = shingle_hashes(text)
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes) -> int:
+    """Majority of each bit over the XXH64 of all word shingles; 0 without words."""
+    return majority(shingle_hashes(text)) if text.strip() else 0
+
+
 def _fingerprints(batches):
     for b in batches:
         made: dict[bytes, int] = {}
@@ -135,6 +137,8 @@ def plan(together: np.ndarray, n: int, sample: np.ndarray, radius: int = RADIUS)
                     if total + t not in after or spent + more < after[total + t][0]:
                         after[total + t] = (spent + more, [*chosen, t])
             table = after
+        if radius - parts + 1 not in table:  # a threshold is 2 at most
+            continue
         spent, chosen = table[radius - parts + 1]
         if best is None or spent < best[0]:
             best = (spent, list(zip(groups, chosen, strict=True)))
@@ -222,30 +226,33 @@ def _dealt_again(fps: np.ndarray, owners: np.ndarray, bits: list[int], radius: i
     return out
 
 
-def _linked(batches):
-    keys, fps, owners = (np.zeros(0, np.int64) for _ in range(3))
+def _linked(radius: int):
+    def scan(batches):
+        keys, fps, owners = (np.zeros(0, np.int64) for _ in range(3))
+
+        def edges(keys, fps, owners):
+            cuts = np.flatnonzero(np.diff(keys)) + 1
+            from_, to = [], []
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if hi - lo > 1:
+                    for root, others in forest(fps[lo:hi].view(np.uint64), owners[lo:hi], radius):
+                        from_.append(np.full(len(others), root))
+                        to.append(others)
+            if to:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to)), pa.array(np.concatenate(from_))], ["u", "v"])
 
-    def edges(keys, fps, owners):
-        cuts = np.flatnonzero(np.diff(keys)) + 1
-        from_, to = [], []
-        for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-            if hi - lo > 1:
-                for root, others in forest(fps[lo:hi].view(np.uint64), owners[lo:hi]):
-                    from_.append(np.full(len(others), root))
-                    to.append(others)
-        if to:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to)), pa.array(np.concatenate(from_))], ["u", "v"])
+        for b in batches:
+            k, f, o = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            keys, fps, owners = np.concatenate([keys, k]), np.concatenate([fps, f]), np.concatenate([owners, o])
+            if not len(keys) or keys[0] == keys[-1]:
+                continue
+            whole = np.searchsorted(keys, keys[-1])  # the last key may go on in the next batch
+            yield from edges(keys[:whole], fps[:whole], owners[:whole])
+            keys, fps, owners = keys[whole:], fps[whole:], owners[whole:]
+        if len(keys):
+            yield from edges(keys, fps, owners)
 
-    for b in batches:
-        k, f, o = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        keys, fps, owners = np.concatenate([keys, k]), np.concatenate([fps, f]), np.concatenate([owners, o])
-        if not len(keys) or keys[0] == keys[-1]:
-            continue
-        whole = np.searchsorted(keys, keys[-1])  # the last key may go on in the next batch
-        yield from edges(keys[:whole], fps[:whole], owners[:whole])
-        keys, fps, owners = keys[whole:], fps[whole:], owners[whole:]
-    if len(keys):
-        yield from edges(keys, fps, owners)
+    return scan
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -313,7 +320,7 @@ def link(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("key", F.least(b, own), F.greatest(b, own)))
         rows = dealt.join(F.broadcast(hot), "key", "left").select(F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)).alias("key"), "fp", "owner")
-    edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "u long, v long")
+    edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(radius), "u long, v long")
     found = components(edges)
     return distinct.join(found, F.col("owner") == F.col("node"), "left").select("fp", F.coalesce("root", "owner").alias("component"))
 
@@ -324,7 +331,11 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts without words have fingerprint 0 and link like any other. Rows of equal fingerprint are linked, so repeated rows
     share a component. Rows with a null id take part through the fingerprint they share with others; where it has no id at
     all, the component is null. An empty table gives an empty result. Other columns are not read."""
-    prints = materialise(fingerprints(df, id_col, text_col), "simhash")
+    return grouped(materialise(fingerprints(df, id_col, text_col), "simhash"), radius)
+
+
+def grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``id, fp, component`` for each row of ``prints`` (id, fp), a table that is read several times."""
     found = link(prints, radius)
     # a fingerprint may be that of a third of all rows: its rows are cut by id, and its one component goes to each cut
     many = materialise(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HUB).select("fp", F.lit(True).alias("many")), "common-fingerprints")
